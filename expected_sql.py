@@ -151,7 +151,8 @@ def _chain(field: str, text: str = "text") -> str:
 def _number(x: str) -> str:
     """Value of an amount capture (digits only, at most two decimals)."""
     bare = f"regexp_replace({_strip(x)}, '[ \\x{{a0}}]', '', 'g')"
-    inner = f"(CASE WHEN {bare} LIKE '(%)' THEN {_strip(f'regexp_replace({bare}, $$^\\(|\\)$$$, $$$$, $$g$$)')} ELSE {bare} END)"
+    opened = f"regexp_replace({bare}, '^[(]|[)]$', '', 'g')"
+    inner = f"(CASE WHEN {bare} LIKE '(%)' THEN {_strip(opened)} ELSE {bare} END)"
     magnitude = _strip(f"regexp_replace({inner}, '^[-−+]', '')")
     value = (
         f"CASE WHEN regexp_matches({magnitude}, '^[0-9]{{1,3}}(\\.[0-9]{{3}})*(,[0-9]{{1,2}})?$') "

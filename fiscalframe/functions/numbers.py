@@ -58,7 +58,7 @@ def sum_of_totals(total: Column, total_dec: Column) -> Column:
 
 def two_decimals(value: Column) -> Column:
     """``1234.50``: half-even on the binary value, as printf does."""
-    return _named_specials(value, F.format_number(value, "0.00"))
+    return _named_specials(value, F.call_function("format_number", value, F.lit("0.00")))
 
 
 def grouped_two_decimals(value: Column) -> Column:

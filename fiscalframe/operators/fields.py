@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
-from itertools import zip_longest
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fiscalframe.functions.dates import parse_italian_date
 from fiscalframe.functions.dialect import to_java
 from fiscalframe.functions.numbers import exact_cents, parse_italian_number
+from fiscalframe.functions.once import computed_once, non_empty
 from fiscalframe.functions.text import clean_capture
 from fiscalframe.operators.rules import FIELDS, ExtractionRules, may_match, odd_case
 
 
+def first_capture(text: Column, patterns: tuple[str, ...], lowered: Column, odd: Column) -> Column:
+    """Cleaned capture of the first rule that yields one, or null.
+
+    Only the first match of a rule counts; a capture that is empty after
+    cleaning passes the turn to the next rule.  A rule is evaluated once at
+    most, and not at all after a hit or in a text without its anchor words.
+    """
+    tries = []
+    for pattern in patterns:
+        found = non_empty(clean_capture(F.regexp_extract(text, to_java(pattern), 1)))
+        condition = may_match(pattern, text, lowered, odd)
+        tries.append(found if condition is None else F.when(condition, found))
+    return F.coalesce(*tries)
+
+
 def first_captures(
     df: DataFrame,
     text: str,
@@ -20,38 +34,16 @@ def first_captures(
     fields: tuple[str, ...] = FIELDS,
     prefix: str = "",
 ) -> DataFrame:
-    """Adds, per field, the cleaned capture of the first rule that yields one.
+    """Adds the first capture of each field.
 
-    Only the first match of a rule counts; a capture that is empty after
-    cleaning passes the turn to the next rule.
-
-    The rules run in rounds, all fields' n-th rules in one projection.  A round
-    reads the previous round's column several times, which keeps the optimizer
-    from inlining it: every rule is evaluated at most once per text, and not at
-    all once the field has a value or if the text lacks the rule's anchor words.
+    Every field gets a projection of its own, which bounds the generated code
+    per method.
     """
-    names = {field: prefix + field for field in fields}
-    lowered, odd = F.col("_lowered"), F.col("_odd_case")
-    kept = df.columns
-    staged = df.withColumns({"_lowered": F.lower(text), "_odd_case": odd_case(F.col(text))})
-
-    rounds = zip_longest(*(rules.patterns[field] for field in fields))
-    for number, patterns in enumerate(rounds):
-        columns = {}
-        for field, pattern in zip(fields, patterns):
-            if pattern is None:
-                continue
-            found = clean_capture(F.regexp_extract(text, to_java(pattern), 1))
-            condition = may_match(pattern, F.col(text), lowered, odd)
-            if condition is not None:
-                found = F.when(condition, found).otherwise(F.lit(""))
-            if number:
-                so_far = F.col(names[field])
-                found = F.when(so_far != "", so_far).otherwise(found)
-            columns[names[field]] = found
-        staged = staged.withColumns(columns)
-
-    return staged.select(*kept, *[F.nullif(F.col(c), F.lit("")).alias(c) for c in names.values()])
+    found = df.withColumns({"_lowered": F.lower(text), "_odd_case": odd_case(F.col(text))})
+    for field in fields:
+        capture = first_capture(F.col(text), rules.patterns[field], F.col("_lowered"), F.col("_odd_case"))
+        found = found.withColumn(prefix + field, computed_once(capture))
+    return found.drop("_lowered", "_odd_case")
 
 
 def extract_field(df: DataFrame, text: str, field: str, rules: ExtractionRules) -> DataFrame:
@@ -66,16 +58,13 @@ def extract_fields(df: DataFrame, text: str = "text", rules: ExtractionRules | N
     """
     rules = rules or ExtractionRules()
     captured = first_captures(df, text, rules, prefix="_raw_")
-    parsed = captured.withColumns(
-        {
-            "_iso_date": parse_italian_date(F.col("_raw_date"), rules.date_formats),
-            "total": parse_italian_number(F.col("_raw_total")),
-        }
-    )
+    iso_date = parse_italian_date(F.col("_raw_date"), rules.date_formats)
+    parsed = captured.withColumn("_iso_date", computed_once(iso_date))
+    parsed = parsed.withColumn("total", computed_once(parse_italian_number(F.col("_raw_total"))))
     return parsed.select(
         *df.columns,
         F.col("_raw_invoice_number").alias("invoice_number"),
-        date_or_raw(F.col("_iso_date"), F.col("_raw_date")).alias("date"),
+        F.coalesce("_iso_date", "_raw_date").alias("date"),
         F.col("_iso_date").try_cast("date").alias("date_parsed"),
         "total",
         exact_cents(F.col("total")).alias("total_dec"),
@@ -83,6 +72,3 @@ def extract_fields(df: DataFrame, text: str = "text", rules: ExtractionRules | N
         F.col("_raw_vat_number").alias("vat_number"),
     )
 
-
-def date_or_raw(parsed: Column, raw: Column) -> Column:
-    return F.coalesce(parsed, raw)

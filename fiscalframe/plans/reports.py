@@ -192,7 +192,7 @@ def size_text(size: Column) -> Column:
     """``1,234 byte`` below one MiB, ``1.5 MB`` from there on."""
     small = F.concat(F.format_number(size, 0), F.lit(" byte"))
     return F.when(size < 1024 * 1024, small).otherwise(
-        F.concat(F.format_number(size / F.lit(1024.0 * 1024.0), "0.0"), F.lit(" MB"))
+        F.concat(F.call_function("format_number", size / F.lit(1024.0 * 1024.0), F.lit("0.0")), F.lit(" MB"))
     )
 
 
