@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, functions as F
 
 from fiscalframe.functions.dialect import to_java
-from fiscalframe.functions.text import ascii_digits, strip
+from fiscalframe.functions.text import ascii_digits, lookup, strip
 
 # Month names by number, and what each date directive reads.
 ITALIAN_MONTHS = {
@@ -48,21 +48,22 @@ _LONG_FORM = to_java(r"\A(\d{1,2})\s*(" + "|".join(ITALIAN_MONTHS) + r")\s*(\d{4
 def _read_format(fmt: str, century: str = "") -> tuple[str, dict[str, int]]:
     """Pattern of a strptime-style format, and the group number of each directive."""
     groups: dict[str, int] = {}
-    out = []
+    body = plain = ""
     for token in re.finditer(r"%(.)|(\s+)|(%)|([^%\s]+)", fmt, re.DOTALL):
         directive, space, stray, literal = token.groups()
-        if directive == "%":
-            out.append("%")
-        elif directive in _DIRECTIVES and directive not in groups:
+        part = r"\s+" if space else re.escape(literal or "%")
+        if directive in _DIRECTIVES and directive not in groups:
             groups[directive] = len(groups) + 1
-            out.append(_CENTURIES[century] if directive == "y" and century else _DIRECTIVES[directive])
-        elif directive or stray:
+            part = _CENTURIES[century] if directive == "y" and century else _DIRECTIVES[directive]
+        elif stray or directive and directive != "%":
             raise ValueError(f"Formato data non supportato: {fmt} (%{directive or ''})")
-        else:
-            out.append(r"\s+" if space else re.escape(literal))
+        body += part
+        plain += "(?:" + part[1:] if directive in groups else part
     if {"Y", "y"} <= groups.keys() or len(groups.keys() & {"m", "B", "b"}) > 1:
         raise ValueError(f"Formato data non supportato: {fmt} (campo ripetuto)")
-    return "".join(out), groups
+    # The first match must reach the end of the text by itself, as the atomic
+    # look-ahead asks; any other text takes the last branch, with empty groups.
+    return rf"\A(?:(?=(?>{plain})\Z){body}\Z|.*)", groups
 
 
 def check_format(fmt: str) -> None:
@@ -72,21 +73,18 @@ def check_format(fmt: str) -> None:
 
 def _by_format(text: Column, fmt: str, century: str = "") -> Column:
     """The date, or null if the text is not a real date in this format."""
-    body, groups = _read_format(fmt, century)
+    pattern, groups = _read_format(fmt, century)
     if "y" in groups and not century:
         return F.coalesce(*[_by_format(text, fmt, c) for c in _CENTURIES])
-    # The first match must reach the end of the text by itself, hence atomic;
-    # any other text takes the last branch, which leaves the groups empty.
-    pattern = to_java(rf"\A(?:(?>{body})\Z|.*)")
+    pattern = to_java(pattern)
     year = f"${groups['Y']}" if "Y" in groups else f"{century}${groups['y']}" if "y" in groups else "1900"
     month = f"${groups['m']}" if "m" in groups else "01"
     day = f"${groups['d']}" if "d" in groups else "01"
     for directive, names in (("B", _FULL_NAMES), ("b", _SHORT_NAMES)):
         if directive in groups:
-            by_name = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
             name = F.lower(F.regexp_extract(text, pattern, groups[directive]))
             iso = F.regexp_replace(text, pattern, f"{year}-@-{day}")
-            return F.replace(F.translate(iso, " ", ""), F.lit("@"), F.element_at(by_name, name)).try_cast("date")
+            return F.replace(F.translate(iso, " ", ""), F.lit("@"), lookup(names, name)).try_cast("date")
     return F.translate(F.regexp_replace(text, pattern, f"{year}-{month}-{day}"), " ", "").try_cast("date")
 
 
@@ -98,10 +96,9 @@ def parse_italian_date(text: Column, formats: Iterable[str]) -> Column:
     """
     bare = strip(text)
     day = F.lpad(ascii_digits(F.regexp_extract(bare, _LONG_FORM, 1)), 2, "0")
-    names = F.create_map(*[F.lit(x) for pair in ITALIAN_MONTHS.items() for x in pair])
-    month = F.element_at(names, F.lower(F.regexp_extract(bare, _LONG_FORM, 2)))
+    month = lookup(ITALIAN_MONTHS, F.lower(F.regexp_extract(bare, _LONG_FORM, 2)))
     year = F.regexp_extract(bare, _LONG_FORM, 3)
-    long_form = F.when(month.isNotNull(), F.concat(year, F.lit("-"), month, F.lit("-"), day))
+    long_form = F.when(bare.rlike(_LONG_FORM), F.concat(year, F.lit("-"), month, F.lit("-"), day))
     parsed = F.coalesce(*[_by_format(bare, fmt) for fmt in formats])
     # Years below 1000 are printed without leading zeros.
     return F.coalesce(long_form, F.regexp_replace(parsed.cast("string"), r"\A0+", ""))

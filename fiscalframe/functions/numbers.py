@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from fiscalframe.functions.dialect import SPACE
 from fiscalframe.functions.text import ascii_digits, strip
 
 _GROUPED = r"\A[0-9]{1,3}(\.[0-9]{3})*(,[0-9]{1,2})?\z"
@@ -23,12 +22,12 @@ def parse_italian_number(text: Column) -> Column:
     spaces are skipped; null if the text is no number.
     """
     # Only blanks and no-break spaces are skipped inside, other space is not.
-    bare = F.regexp_replace(strip(F.translate(text, "€", "")), r"[ \xa0]", "")
-    bare = ascii_digits(bare)
-    enclosed = bare.rlike(r"(?s)\A\(.*\)\z")
-    inner = F.when(enclosed, F.regexp_replace(bare, rf"\A\([{SPACE}]*|[{SPACE}]*\)\z", "")).otherwise(bare)
-    minus = inner.rlike("\\A[-\u2212]")
-    magnitude = F.regexp_replace(inner, f"\\A[-\u2212+][{SPACE}]*", "")
+    bare = ascii_digits(strip(F.translate(text, "€ \u00a0", "")))
+    enclosed = bare.startswith("(") & bare.endswith(")") & (F.length(bare) > 1)
+    inner = F.when(enclosed, strip(bare.substr(F.lit(2), F.length(bare) - 2))).otherwise(bare)
+    minus = inner.startswith("-") | inner.startswith("\u2212")
+    signed = minus | inner.startswith("+")
+    magnitude = F.when(signed, strip(inner.substr(F.lit(2), F.length(inner)))).otherwise(inner)
     value = (
         F.when(magnitude.rlike(_GROUPED), F.translate(magnitude, ",.", ".").try_cast("double"))
         .when(magnitude.rlike(_COMMA), F.translate(magnitude, ",", ".").try_cast("double"))

@@ -32,14 +32,25 @@ def ascii_digits(text: Column) -> Column:
     return F.when(text.rlike(rf"[{DIGIT}&&[^0-9]]"), F.translate(text, foreign, plain)).otherwise(text)
 
 
+# From the start: marks, then dashes unless they are the sign of a number (of
+# several dashes before a number the last one stays), then space.
+_LEADING = rf"\A[{SPACE}.,;:]*+(?:-+(?![{SPACE}]*[{DIGIT}(]))?[{SPACE}]*"
+# To the end: space, dashes, then marks.
+_TRAILING = rf"[{SPACE}]*-*[{SPACE}.,;:]*\z"
+
+
 def clean_capture(text: Column) -> Column:
     """A rule's capture without the punctuation around it.
 
     A leading minus stays if it belongs to a number.
     """
-    edges = rf"\A[{SPACE}.,;:]+|[{SPACE}.,;:]+\z"
-    dashes = rf"\A-+(?![{SPACE}]*[{DIGIT}(])|-+\z"
-    return strip(F.regexp_replace(F.regexp_replace(text, edges, ""), dashes, ""))
+    return F.regexp_replace(text, f"{_LEADING}|{_TRAILING}", "")
+
+
+def lookup(table: dict[str, str], key: Column) -> Column:
+    """Value of the key in a small fixed table, or null."""
+    entries = ", ".join(f"'{name}', '{value}'" for name, value in table.items())
+    return F.try_element_at(F.expr(f"map({entries})"), key)
 
 
 def file_name(path: Column) -> Column:

@@ -12,7 +12,7 @@ from fiscalframe.functions.text import clean_capture
 from fiscalframe.operators.rules import FIELDS, ExtractionRules, may_match, odd_case
 
 
-def first_capture(text: Column, patterns: tuple[str, ...], lowered: Column, odd: Column) -> Column:
+def first_capture(text: str, patterns: tuple[str, ...], lowered: str, odd: str) -> Column:
     """Cleaned capture of the first rule that yields one, or null.
 
     Only the first match of a rule counts; a capture that is empty after
@@ -39,9 +39,9 @@ def first_captures(
     Every field gets a projection of its own, which bounds the generated code
     per method.
     """
-    found = df.withColumns({"_lowered": F.lower(text), "_odd_case": odd_case(F.col(text))})
+    found = df.withColumns({"_lowered": F.lower(text), "_odd_case": odd_case(text)})
     for field in fields:
-        capture = first_capture(F.col(text), rules.patterns[field], F.col("_lowered"), F.col("_odd_case"))
+        capture = first_capture(text, rules.patterns[field], "_lowered", "_odd_case")
         found = found.withColumn(prefix + field, computed_once(capture))
     return found.drop("_lowered", "_odd_case")
 

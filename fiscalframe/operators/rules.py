@@ -125,25 +125,23 @@ _SHAPE_OF = {PATTERNS["date"][2]: to_java(r"\d[/\-.]\d")}
 _ODD_CASE_LETTERS = ("\u017f", "\u0131", "\u0130", "\u212a")
 
 
-def odd_case(text: Column) -> Column:
-    """True if lower-casing the text is no safe way to look for anchor words."""
-    found = F.lit(False)
-    for letter in _ODD_CASE_LETTERS:
-        found = found | F.contains(text, F.lit(letter))
-    return found
+def odd_case(text: str) -> Column:
+    """True if lower-casing the column is no safe way to look for anchor words."""
+    return F.expr(" or ".join(f"contains({text}, '{letter}')" for letter in _ODD_CASE_LETTERS))
 
 
-def may_match(pattern: str, text: Column, lowered: Column, odd: Column) -> Column | None:
-    """A cheap condition that holds for every text the pattern matches in."""
+def may_match(pattern: str, text: str, lowered: str, odd: str) -> Column | None:
+    """A cheap condition that holds for every text the pattern matches in.
+
+    Takes the names of the columns with the text, the text in lower case, and
+    the result of ``odd_case``.
+    """
     if pattern in _SHAPE_OF:
-        return text.rlike(_SHAPE_OF[pattern])
+        return F.col(text).rlike(_SHAPE_OF[pattern])
     words = _ANCHORS_OF.get(pattern)
     if words is None:
         return None
-    found = odd
-    for word in words:
-        found = found | F.contains(lowered, F.lit(word))
-    return found
+    return F.expr(" or ".join([odd, *(f"contains({lowered}, '{word}')" for word in words)]))
 
 
 def check_pattern(field_name: str, pattern: str) -> None:

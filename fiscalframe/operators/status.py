@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fiscalframe.functions.text import lookup
 from fiscalframe.operators.rules import FIELD_LABELS, FIELDS
 
 
@@ -14,8 +15,7 @@ def missing_fields() -> Column:
 
 def labelled(names: Column) -> Column:
     """``Campi non trovati: numero fattura, totale``; unknown names stay as they are."""
-    labels = F.create_map(*[F.lit(x) for pair in FIELD_LABELS.items() for x in pair])
-    texts = F.transform(names, lambda name: F.coalesce(F.try_element_at(labels, name), name))
+    texts = F.transform(names, lambda name: F.coalesce(lookup(FIELD_LABELS, name), name))
     return F.concat(F.lit("Campi non trovati: "), F.array_join(texts, ", "))
 
 
