@@ -35,6 +35,7 @@ from fiscalframe.plans.pipeline import extract_invoices  # noqa: E402
 from fiscalframe.sinks.csv_text import csv_lines  # noqa: E402
 from fiscalframe.sources.files import skipped_files  # noqa: E402
 from fiscalframe.sources.pages import assemble_pages  # noqa: E402
+from fiscalframe.sources.tables import read_spread  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +47,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return read_spread(spark, f"{sf_dir}/{name}.parquet", *columns)
+
+
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered corpus, extracted."""
     return extract_invoices(
@@ -61,8 +66,8 @@ def corpus_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prose(spark: SparkSession, sf_dir: str, table: str, key: str, text: str) -> DataFrame:
-    """A prose table as (key, text), spread over the cores: its file may be one split."""
-    return _table(spark, sf_dir, table).select(F.col(key).alias("doc_key"), F.col(text).alias("text"))
+    """A prose table as (key, text)."""
+    return _spread(spark, sf_dir, table, key, text).select(F.col(key).alias("doc_key"), F.col(text).alias("text"))
 
 
 # Frequent words of the prose, and what they become to give the rules matches.
@@ -136,7 +141,7 @@ def q_field(field: str, column: str) -> Query:
 def q_rule_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each later rule of a field gets its turn: per order, one text per rule of the invoice number."""
     number = F.col("o_orderkey").cast("string")
-    texts = _table(spark, sf_dir, "orders").select(
+    texts = _spread(spark, sf_dir, "orders", "o_orderkey").select(
         "o_orderkey",
         _choices(
             "rule",
@@ -172,8 +177,12 @@ def q_parse_number(spark: SparkSession, sf_dir: str) -> DataFrame:
             ("us_style", F.concat(sign, F.format_number(size, 2), F.lit(" EUR"))),
         )
 
-    orders = _table(spark, sf_dir, "orders").select(F.lit("orders").alias("source"), F.col("o_orderkey").alias("key"), renderings(F.col("o_totalprice")))
-    customers = _table(spark, sf_dir, "customer").select(F.lit("customer").alias("source"), F.col("c_custkey").alias("key"), renderings(F.col("c_acctbal")))
+    orders = _spread(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").select(
+        F.lit("orders").alias("source"), F.col("o_orderkey").alias("key"), renderings(F.col("o_totalprice"))
+    )
+    customers = _spread(spark, sf_dir, "customer", "c_custkey", "c_acctbal").select(
+        F.lit("customer").alias("source"), F.col("c_custkey").alias("key"), renderings(F.col("c_acctbal"))
+    )
     texts = orders.unionByName(customers)
     return texts.select("source", "key", "rendering", parse_italian_number(F.col("text")).alias("value"))
 
@@ -183,7 +192,7 @@ ITALIAN_DATE = "concat(day(o_orderdate), ' ', element_at(split('gennaio febbraio
 
 def q_parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = ("dd/MM/yyyy", "dd/MM/yy", "dd-MM-yyyy", "dd-MM-yy", "dd.MM.yyyy", "dd.MM.yy", "yyyy/MM/dd", "yyyy-MM-dd", "yyyy.MM.dd", "d/M/yyyy")
-    texts = _table(spark, sf_dir, "orders").select(
+    texts = _spread(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select(
         "o_orderkey",
         _choices(
             "shape",
@@ -218,7 +227,7 @@ def q_seeded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_amount_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _table(spark, sf_dir, "orders").select(
+    texts = _spread(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").select(
         "o_orderkey", F.concat(F.lit("Totale "), comma_decimals(F.col("o_totalprice"))).alias("text")
     )
     found = extract_field(texts, "text", "total", ExtractionRules())
@@ -329,7 +338,7 @@ CUSTOM_PATTERNS = {
 
 
 def q_custom_rule_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders")
+    orders = _spread(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
     urgent = F.col("o_orderpriority") == "1-URGENT"
     text = F.concat_ws(
         "\n",

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fiscalframe.functions.numbers import comma_decimals, grouped_two_decimals
+from fiscalframe.sources.tables import read_spread
 
 LAYOUTS = 12
 ZERO, CREDIT_MINUS, CREDIT_PARENTHESES, NO_VAT, TWO_PAGES, BLANK_PAGE, EMPTY_FILE, DAMAGED, ABSENT = range(3, 12)
@@ -21,7 +22,7 @@ def italian_amount(value: Column) -> Column:
 
 def _orders(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """All orders with their layout and path, and the given columns of their own."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = read_spread(spark, f"{sf_dir}/orders.parquet", *dict.fromkeys(("o_orderkey", "o_orderdate", *columns)))
     path = F.concat(
         F.lit("/archivio/"), F.date_format("o_orderdate", "yyyy/MM"), F.lit("/ordine_"), F.col("o_orderkey"), F.lit(".pdf")
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote, urlsplit
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fiscalframe.functions.text import file_name
@@ -18,13 +21,18 @@ def scan_files(spark: SparkSession, path: str, recursive: bool = False) -> DataF
     """The PDF files at a path as (path, file_name, file_size).
 
     A folder contributes its ``*.pdf`` files (case-sensitive), with ``recursive``
-    those of all its sub-folders; a single file may be named ``.PDF`` too.
+    those of all its sub-folders; a single file may be named ``.PDF`` too, and
+    is an error if it is no PDF by name.
     Only metadata is read.  Names starting with "." or "_" are hidden to Spark.
     """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-    if path.lower().endswith(".pdf"):
-        found = listing.load(path)
-    else:
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    own_name = re.sub(r"([\\*?{}\[\],])", r"\\\1", name)
+    found = listing.option("pathGlobFilter", own_name).load(path)
+    single = [unquote(urlsplit(uri).path) for uri in found.inputFiles()] == [re.sub(r"\A[a-z0-9]+:(?://[^/]*)?", "", path)]
+    if single and not name.lower().endswith(".pdf"):
+        raise ValueError(f"Il file non è un PDF: {path}")
+    if not single:
         found = listing.option("pathGlobFilter", "*.pdf").load(path)
     # A binaryFile scan leaves out empty files, though its file index lists
     # them.  That index already lives on the driver; inventories too large for
