@@ -8,14 +8,14 @@ from fiscalframe.functions.text import file_name, is_blank
 from fiscalframe.sources.pages import assemble_pages
 
 
-def error_kind(size: Column, unexpected: Column, decode_error: Column, n_pages: Column, text: Column) -> Column:
+def error_kind(size: Column, unexpected: Column, decode_error: Column, n_pages: Column, blank: Column) -> Column:
     """Why a document cannot be read; null if it can.  The first reason counts."""
     return (
         F.when(unexpected.isNotNull(), "unexpected")
         .when(size.isNull(), "missing")
         .when(size == 0, "empty")
         .when(decode_error.isNotNull() | F.coalesce(n_pages == 0, F.lit(True)), "corrupt")
-        .when(is_blank(text), "scanned")
+        .when(blank, "scanned")
     )
 
 
@@ -37,16 +37,19 @@ def error_message(kind: Column, path: Column, name: Column, unexpected: Column,
     )
 
 
-def read_documents(files: DataFrame, pages: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
-    """Documents as (path, filename, text, error_kind, error), one row per path.
+def document_texts(pages: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """Assembled pages, of the manifest's documents only if there is one, and whether they are blank."""
+    if manifest is not None:
+        pages = pages.join(manifest.select("path"), "path", "left_semi")
+    return assemble_pages(pages).withColumn("blank", is_blank(F.col("text")))
 
-    ``files`` has (path, file_size) and may have ``file_name``, ``decode_error``
-    (why the pages could not be read) and ``unexpected_error``; ``pages`` has
-    (path, page_no, page_text).  With a ``manifest`` of paths these are the
-    requested documents, otherwise all files are.  ``text`` is null on errors.
 
-    Both joins and the page assembly are on ``path``, so each table is shuffled
-    once at most.
+def with_read_errors(texts: DataFrame, files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """Joins per-document rows to the requested documents and says which of these cannot be read.
+
+    Gives one row per path: the columns of ``texts`` without ``n_pages`` and
+    ``blank``, which it must have, all null for unreadable documents; and
+    filename, error_kind and error.
     """
     for name in ("file_name", "decode_error", "unexpected_error"):
         if name not in files.columns:
@@ -56,18 +59,29 @@ def read_documents(files: DataFrame, pages: DataFrame, manifest: DataFrame | Non
     if manifest is not None:
         requested = manifest.select("path").distinct().join(files, "path", "left")
 
-    path, size = F.col("path"), F.col("file_size")
+    path, name, kind = F.col("path"), F.col("filename"), F.col("error_kind")
     unexpected, decode_error = F.col("unexpected_error"), F.col("decode_error")
-    found = requested.join(assemble_pages(pages), "path", "left").withColumns(
-        {
-            "filename": F.coalesce("file_name", file_name(path)),
-            "error_kind": error_kind(size, unexpected, decode_error, F.col("n_pages"), F.col("text")),
-        }
+    found = (
+        requested.join(texts, "path", "left")
+        .withColumn("filename", F.coalesce("file_name", file_name(path)))
+        .withColumn("error_kind", error_kind(F.col("file_size"), unexpected, decode_error, F.col("n_pages"), F.col("blank")))
     )
+    carried = [c for c in texts.columns if c not in ("path", "n_pages", "blank")]
     return found.select(
         "path",
         "filename",
-        F.when(F.col("error_kind").isNull(), F.col("text")).alias("text"),
+        *[F.when(kind.isNull(), F.col(c)).alias(c) for c in carried],
         "error_kind",
-        error_message(F.col("error_kind"), path, F.col("filename"), unexpected, decode_error).alias("error"),
+        error_message(kind, path, name, unexpected, decode_error).alias("error"),
     )
+
+
+def read_documents(files: DataFrame, pages: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """Documents as (path, filename, text, error_kind, error), one row per path.
+
+    ``files`` has (path, file_size) and may have ``file_name``, ``decode_error``
+    (why the pages could not be read) and ``unexpected_error``; ``pages`` has
+    (path, page_no, page_text).  With a ``manifest`` of paths these are the
+    requested documents, otherwise all files are.  ``text`` is null on errors.
+    """
+    return with_read_errors(document_texts(pages, manifest), files, manifest)

@@ -20,9 +20,8 @@ def italian_amount(value: Column) -> Column:
     return F.translate(grouped_two_decimals(value), ",.", ".,")
 
 
-def _orders(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def _orders(orders: DataFrame, *columns: str) -> DataFrame:
     """All orders with their layout and path, and the given columns of their own."""
-    orders = read_spread(spark, f"{sf_dir}/orders.parquet", *dict.fromkeys(("o_orderkey", "o_orderdate", *columns)))
     path = F.concat(
         F.lit("/archivio/"), F.date_format("o_orderdate", "yyyy/MM"), F.lit("/ordine_"), F.col("o_orderkey"), F.lit(".pdf")
     )
@@ -33,7 +32,7 @@ def _orders(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requested documents: one per order."""
-    return _orders(spark, sf_dir).select("path")
+    return _orders(spark.read.parquet(f"{sf_dir}/orders.parquet")).select("path")
 
 
 def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +40,7 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.when(F.col("layout") == EMPTY_FILE, 0).otherwise(F.lit(1000) + F.pmod(F.col("o_orderkey") * 7919, F.lit(3_000_000)))
     decode_error = F.when(F.col("layout") == DAMAGED, F.lit("No /Root object! - Is this really a PDF?"))
     return (
-        _orders(spark, sf_dir)
+        _orders(spark.read.parquet(f"{sf_dir}/orders.parquet"))
         .filter(F.col("layout") != ABSENT)
         .select(
             "path",
@@ -54,7 +53,8 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page texts of the readable files."""
-    orders = _orders(spark, sf_dir, "o_custkey", "o_totalprice", "o_orderdate")
+    columns = ("o_custkey", "o_totalprice", "o_orderdate")
+    orders = _orders(read_spread(spark, f"{sf_dir}/orders.parquet", "o_orderkey", *columns), *columns)
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
     # Left, so that an order without its customer still yields a document.
     printed = orders.filter(F.col("layout") <= BLANK_PAGE).join(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from fiscalframe.operators.fields import extract_fields
-from fiscalframe.operators.reads import read_documents
+from fiscalframe.operators.reads import document_texts, with_read_errors
 from fiscalframe.operators.requests import per_request
 from fiscalframe.operators.rules import ExtractionRules
 from fiscalframe.operators.status import with_status
@@ -34,8 +34,12 @@ def extract_invoices(
     Unreadable documents become rows with an error, nothing is ever raised for
     one document.  A path that stands in the manifest several times gives as
     many rows; ``unique_manifest`` says there is none and saves looking.
+
+    Fields are extracted where the pages of a document come together, the only
+    place its text is moved to; what is joined to the files afterwards is narrow.
     """
-    invoices = extract_documents(read_documents(files, pages, manifest), rules)
+    extracted = extract_fields(document_texts(pages, manifest), "text", rules).drop("text")
+    invoices = with_status(with_read_errors(extracted, files, manifest)).select(*INVOICE_COLUMNS)
     if manifest is None or unique_manifest:
         return invoices
     order = "seq" if "seq" in manifest.columns else None

@@ -7,6 +7,9 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Joins whose smaller side fits in memory per partition need not sort the
+    # other side, which may be page texts.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # The rule chains generate long methods.  The JVM compiles none beyond 8000
     # bytes, so Spark had better cut them up.
     "spark.sql.codegen.hugeMethodLimit": "8000",

@@ -13,7 +13,7 @@ def _bytes_per_split(spark: SparkSession) -> int:
 
 
 def read_spread(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """The columns (all if none is named) of a Parquet table in enough partitions to keep all cores searching or parsing.
+    """Columns of a Parquet table, all if none is named, in enough partitions to keep every core busy.
 
     A table too small to give every core a split, which may well be a single row
     group, is spread over the cores; a larger one is read as it lies, without a
