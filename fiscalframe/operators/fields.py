@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fiscalframe.functions.dates import parse_italian_date
@@ -12,8 +14,9 @@ from fiscalframe.functions.text import clean_capture
 from fiscalframe.operators.rules import FIELDS, ExtractionRules, may_match, odd_case
 
 
+@lru_cache(maxsize=64)
 def first_capture(text: str, patterns: tuple[str, ...], lowered: str, odd: str) -> Column:
-    """Cleaned capture of the first rule that yields one, or null.
+    """Cleaned capture of the first rule that yields one, or null; arguments but patterns name columns.
 
     Only the first match of a rule counts; a capture that is empty after
     cleaning passes the turn to the next rule.  A rule is evaluated once at
@@ -58,9 +61,8 @@ def extract_fields(df: DataFrame, text: str = "text", rules: ExtractionRules | N
     """
     rules = rules or ExtractionRules()
     captured = first_captures(df, text, rules, prefix="_raw_")
-    iso_date = parse_italian_date(F.col("_raw_date"), rules.date_formats)
-    parsed = captured.withColumn("_iso_date", computed_once(iso_date))
-    parsed = parsed.withColumn("total", computed_once(parse_italian_number(F.col("_raw_total"))))
+    iso_date, total = _parsed("_raw_date", rules.date_formats, "_raw_total")
+    parsed = captured.withColumn("_iso_date", iso_date).withColumn("total", total)
     return parsed.select(
         *df.columns,
         F.col("_raw_invoice_number").alias("invoice_number"),
@@ -72,3 +74,9 @@ def extract_fields(df: DataFrame, text: str = "text", rules: ExtractionRules | N
         F.col("_raw_vat_number").alias("vat_number"),
     )
 
+
+@lru_cache(maxsize=64)
+def _parsed(date: str, formats: tuple[str, ...], total: str) -> tuple[Column, Column]:
+    """The date and total of the named capture columns."""
+    iso_date = parse_italian_date(F.col(date), formats)
+    return computed_once(iso_date), computed_once(parse_italian_number(F.col(total)))

@@ -40,7 +40,9 @@ def error_message(kind: Column, path: Column, name: Column, unexpected: Column,
 def document_texts(pages: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     """Assembled pages, of the manifest's documents only if there is one, and whether they are blank."""
     if manifest is not None:
-        pages = pages.join(manifest.select("path"), "path", "left_semi")
+        # Distinct, so that a path requested very often is one row of its join
+        # partition; the requests below are made distinct by the same exchange.
+        pages = pages.join(manifest.select("path").distinct(), "path", "left_semi")
     return assemble_pages(pages).withColumn("blank", is_blank(F.col("text")))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# A path with more than 1/HOT_SHARE of all requests is hot, so there are fewer
-# than HOT_SHARE hot paths however large the manifest is.
-HOT_SHARE = 1000
+# The most requested paths are spread, if they have that many requests.  Any
+# other path holds less than 1/HOT_PATHS of all requests, however many there are.
+HOT_PATHS = 1000
+HOT_REQUESTS = 1000
 SALTS = 256
 
 
@@ -18,8 +19,8 @@ def per_request(manifest: DataFrame, invoices: DataFrame, order: str | None = No
     """
     columns = ["path"] if order is None else ["path", order]
     requests = manifest.select(*columns)
-    limit = max(requests.count() // HOT_SHARE, 1000)
-    hot = requests.groupBy("path").count().filter(F.col("count") > limit).select("path").collect()
+    counts = requests.groupBy("path").count().filter(F.col("count") > HOT_REQUESTS)
+    hot = counts.orderBy(F.desc("count")).limit(HOT_PATHS).select("path").collect()
     if not hot:
         return requests.join(invoices, "path", "left")
 
