@@ -5,7 +5,7 @@ from fiscalframe.functions.numbers import parse_italian_number
 from fiscalframe.operators.fields import extract_field, extract_fields
 from fiscalframe.operators.materialise import materialise
 from fiscalframe.operators.rules import ExtractionRules
-from fiscalframe.plans.pipeline import extract_documents, extract_invoices
+from fiscalframe.plans.pipeline import extract_documents, extract_invoice, extract_invoices
 from fiscalframe.plans.reports import fatture, fatture_with_total, grand_total, problem_files, riepilogo
 from fiscalframe.sinks.csv_text import write_csv
 from fiscalframe.sinks.outputs import write_outputs
@@ -17,6 +17,7 @@ __all__ = [
     "extract_documents",
     "extract_field",
     "extract_fields",
+    "extract_invoice",
     "extract_invoices",
     "fatture",
     "fatture_with_total",

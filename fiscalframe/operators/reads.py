@@ -38,7 +38,12 @@ def error_message(kind: Column, path: Column, name: Column, unexpected: Column,
 
 
 def document_texts(pages: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
-    """Assembled pages, of the manifest's documents only if there is one, and whether they are blank."""
+    """Assembled pages, of the manifest's documents only if there is one, and whether they are blank.
+
+    Pages without a path belong to no document; together they could be one huge
+    group.
+    """
+    pages = pages.filter(F.col("path").isNotNull())
     if manifest is not None:
         # Distinct, so that a path requested very often is one row of its join
         # partition; the requests below are made distinct by the same exchange.

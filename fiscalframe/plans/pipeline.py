@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from fiscalframe.operators.fields import extract_fields
 from fiscalframe.operators.reads import document_texts, with_read_errors
@@ -44,3 +44,10 @@ def extract_invoices(
         return invoices
     order = "seq" if "seq" in manifest.columns else None
     return per_request(manifest, invoices, order).select(*INVOICE_COLUMNS, *([order] if order else []))
+
+
+def extract_invoice(files: DataFrame, pages: DataFrame, path: str, rules: ExtractionRules | None = None) -> DataFrame:
+    """The one row of a single document; only its pages leave the scan."""
+    wanted = F.col("path") == path
+    manifest = files.sparkSession.createDataFrame([(path,)], "path string")
+    return extract_invoices(files.filter(wanted), pages.filter(wanted), manifest, rules, unique_manifest=True)

@@ -18,7 +18,18 @@ SETTINGS = {
 }
 
 
-def with_settings(builder: SparkSession.Builder) -> SparkSession.Builder:
+# Extraction is bound by CPU and takes some seconds per 10 MB and core, so a
+# shuffle partition of page texts is best kept well below Spark's 128 MB splits.
+TEXT_BYTES_PER_PARTITION = 64 << 20
+
+
+def with_settings(builder: SparkSession.Builder, text_bytes: int = 0) -> SparkSession.Builder:
+    """A session builder with the settings, and shuffle partitions for that much page text if it is given.
+
+    AQE merges partitions that turn out small, but splits none of an aggregation.
+    """
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    if text_bytes:
+        builder = builder.config("spark.sql.shuffle.partitions", max(200, -(-text_bytes // TEXT_BYTES_PER_PARTITION)))
     return builder

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import samples
 from fiscalframe import (
     ExtractionRules,
+    extract_invoice,
     extract_invoices,
     fatture,
     grand_total,
@@ -93,6 +94,22 @@ def test_failed_pages_are_skipped_and_pages_ordered(spark):
     assert (got["p"].text, got["p"].n_pages, got["q"].text) == ("two\nten", 4, "")
 
 
+def test_pages_without_path_belong_to_no_document(spark):
+    files, pages = samples.tables(spark, {"/x.pdf": samples.STANDARD})
+    stray = spark.createDataFrame([(None, 0, "Totale 1,00")] * 50, "path string, page_no int, page_text string")
+    assert [(r.path, r.total) for r in extract_invoices(files, pages.unionByName(stray)).collect()] == [("/x.pdf", 1250.0)]
+
+
+def test_single_document(spark, tmp_path):
+    files, pages = samples.tables(spark, {"/a.pdf": samples.STANDARD, "/b.pdf": samples.ZERO})
+    pages.write.parquet(str(tmp_path / "pages"))
+    stored = spark.read.parquet(str(tmp_path / "pages"))
+    one = extract_invoice(files, stored, "/b.pdf")
+    assert [(r.path, r.invoice_number) for r in one.collect()] == [("/b.pdf", "INV-2024-002")]
+    assert "EqualTo(path,/b.pdf)" in one._jdf.queryExecution().executedPlan().toString()
+    assert extract_invoice(files, stored, "/c.pdf").first().error_kind == "missing"
+
+
 def test_batch_reports(batch):
     assert grand_total(batch).first()[0] == 1250.0 - 450.0 + 320.5 + 2440.0
     lines = {r.voce: r.valore for r in riepilogo(batch, "/out", "01/01/2024 10:00:00").orderBy("ordine").collect()}
