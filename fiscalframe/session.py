@@ -7,6 +7,9 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Small batches of texts are worth spreading over all cores; this bounds
+    # merging from below only, large ones are merged as usual.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
     # Joins whose smaller side fits in memory per partition need not sort the
     # other side, which may be page texts.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
