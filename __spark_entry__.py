@@ -37,6 +37,14 @@ from fiscalframe.sources.files import skipped_files  # noqa: E402
 from fiscalframe.sources.pages import assemble_pages  # noqa: E402
 from fiscalframe.sources.tables import read_spread  # noqa: E402
 
+# The corpus operators are a folder of their own, which may be absent.
+try:
+    from fiscalframe.llm import queries as corpus_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("fiscalframe.llm", "corpus_pipeline"):
+        raise
+    corpus_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -372,7 +380,7 @@ def entry(spark: SparkSession) -> DataFrame:
     return invoices(spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Query]:
+def invoice_queries() -> dict[str, Query]:
     return {
         "page_text_assembly": q_page_text_assembly,
         "clean_capture": q_clean_capture,
@@ -412,7 +420,11 @@ def queries() -> dict[str, Query]:
     }
 
 
+def queries() -> dict[str, Query]:
+    return invoice_queries() | (corpus_queries.queries() if corpus_queries else {})
+
+
 def oracle_sql() -> dict[str, str]:
     from expected_sql import expected
 
-    return expected(SEEDED)
+    return expected(SEEDED) | (corpus_queries.oracle_sql() if corpus_queries else {})

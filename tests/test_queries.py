@@ -27,9 +27,9 @@ def plain(value):
     return None if value is None else str(value)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.invoice_queries()))
 def test_query(spark, duck, name):
-    frame = entry.queries()[name](spark, str(DATA))
+    frame = entry.invoice_queries()[name](spark, str(DATA))
     result = duck.execute(EXPECTED[name])
     names = [d[0] for d in result.description]
     columns = sorted(names)
