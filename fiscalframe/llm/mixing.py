@@ -25,8 +25,8 @@ from fiscalframe.llm.common import kept, word_count
 
 WEIGHTS = (1, 2, 3)
 MOST = 3  # times a source's size
-BLOCK = 20_000  # documents that fly together
-FAN = 5_000  # blocks whose open documents fly together
+BLOCK = 2_000  # documents that fly together
+FAN = 1_000  # blocks whose open documents fly together
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fiscalframe.llm import exact_dedup, licenses, mixing, pseudonyms, secret_scan
-from fiscalframe.llm.common import table
+from fiscalframe.llm import decontamination, exact_dedup, language, licenses, mixing, pseudonyms, quality, secret_scan, simhash, substring_dedup
+from fiscalframe.llm.common import held_out, table
 from fiscalframe.llm.sql import oracle_sql  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,15 +37,49 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.recognise(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.mark(docs, decontamination.find(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.filter(~held_out(F.col("doc_id"))))
+    found = language.predict(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = ~held_out(F.col("doc_id"))
+    model = quality.fit(docs.filter(learned), table(spark, sf_dir, "labels").filter(learned))
+    found = quality.score(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_pii": op2_pii,
         "op3_secrets": op3_secrets,
         "op4_licenses": op4_licenses,
+        "op5_decontamination": op5_decontamination,
         "op6_mixing": op6_mixing,
+        "op7_language": op7_language,
+        "op8_simhash": op8_simhash,
+        "op9_substring_dedup": op9_substring_dedup,
+        "op10_quality": op10_quality,
     }

@@ -35,5 +35,23 @@ FROM documents LEFT JOIN ids USING (doc_id) LEFT JOIN matched USING (doc_id) LEF
 """
 
 
+OP9 = r"""
+WITH cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS words
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM cut WHERE len(w) >= 20)
+),
+later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, i) > 1),
+covered AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM later)),
+each_word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM cut),
+rest AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+  FROM each_word ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM cut LEFT JOIN rest USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op4_licenses": op4()}
+    return {"op1_exact_dedup": OP1, "op4_licenses": op4(), "op9_substring_dedup": OP9}
