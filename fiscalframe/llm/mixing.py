@@ -140,16 +140,18 @@ def mix(
     source_col: str = "source",
     weights=WEIGHTS,
     most: int = MOST,
+    size_col: str | None = None,
     carry: tuple[str, ...] = (),
     block: int = BLOCK,
     seed: int = 7,
 ) -> DataFrame:
     """One row per row of docs: id_col, size, source_size, target (its source's), copies, taken (words), and the columns to carry.
 
-    Blocks are dealt by a hash of id and size, so a rerun decides the same.
+    Sizes are the texts' words unless a column has them.  Blocks are dealt by a
+    hash of id and size, so a rerun decides the same.
     """
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), (F.col(size_col) if size_col else word_count(F.col(text_col))).alias("size"),
         *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)],
     )
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, most)
@@ -178,3 +180,21 @@ def mix(
         F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"),
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)],
     )
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs that the mix takes, with size, source_size, target, copies and taken beside their columns.
+
+    Texts take no part in the mixing: rows find their decision by id, source,
+    hash of the text and number among rows alike in all three.
+    """
+    alike, number = (next(f"{n}{i or ''}" for i in range(len(docs.columns) + 1) if f"{n}{i or ''}" not in docs.columns) for n in ("alike", "number"))
+    hashed = docs.withColumns({alike: F.xxhash64(text_col), "size": word_count(F.col(text_col))})
+    one = Window.partitionBy(id_col, source_col, alike).orderBy(F.lit(0))
+    numbered = hashed.select(id_col, source_col, "size", alike).withColumn(number, F.row_number().over(one))
+    decided = mix(numbered, id_col, source_col=source_col, size_col="size", carry=(source_col, alike, number), **options)
+    rows = docs.withColumn(alike, F.xxhash64(text_col)).withColumn(number, F.row_number().over(one)).alias("rows")
+    decided = decided.filter("copies > 0").alias("decided")
+    same = [F.col(f"rows.{c}").eqNullSafe(F.col(f"decided.{c}")) for c in (id_col, source_col, alike, number)]
+    taken = [F.col(f"decided.{c}") for c in ("size", "source_size", "target", "copies", "taken")]
+    return rows.join(decided, same).select(*[F.col(f"rows.`{c}`") for c in docs.columns], *taken)

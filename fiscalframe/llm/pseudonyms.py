@@ -163,15 +163,17 @@ class Pseudonyms:
         if not FIRST_DAY <= n <= LAST_DAY:
             return None
         n -= FIRST_DAY
+        widths = (len(day), len(month)) if swapped else (len(month), len(day))
         while True:
             n = self.number(n, 271, 271, "date")
             if n > LAST_DAY - FIRST_DAY:
                 continue
             new = date.fromordinal(n + FIRST_DAY)
-            if not swapped or new.day > 12:  # else it would be read day first
+            # As wide as before, and read in the same order.
+            fits = all(w == 2 or x < 10 for w, x in zip(widths, (new.month, new.day), strict=True))
+            if fits and (not swapped or new.day > 12):
                 break
-        padded = len(month) == len(day) == 2
-        parts = [f"{x:02d}" if padded or len(old) == 2 else str(x) for x, old in ((new.month, day if swapped else month), (new.day, month if swapped else day))]
+        parts = [f"{x:0{w}d}" for x, w in zip((new.month, new.day), widths, strict=True)]
         mark = m["s"] or m["s2"]
         if m["y"]:
             return mark.join([f"{new.year}", *parts])

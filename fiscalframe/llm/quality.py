@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from fiscalframe.llm.common import slices
 from fiscalframe.llm.features import Adam, sigmoid, trigrams, unit
@@ -57,7 +57,8 @@ MEASURES = len(measures(b""))
 
 def vector(text: str | None) -> np.ndarray:
     data = (text or "").encode()
-    return np.concatenate([2 * unit(trigrams(data, BUCKETS)), 2 * measures(data), [np.float32(1)]])
+    # Form weighs more than spelling, which few texts teach by heart.
+    return np.concatenate([0.6 * unit(trigrams(data, BUCKETS)), 6 * measures(data), [np.float32(1)]])
 
 
 @dataclass(frozen=True)
@@ -71,7 +72,7 @@ class Model:
         return sigmoid(self.slope * (x @ self.weights).astype(np.float64) + self.offset)
 
 
-def non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, decay: float = 1e-4) -> np.ndarray:
+def non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, decay: float = 1e-3) -> np.ndarray:
     """Weights of the least non-negative risk with logistic loss.
 
     The risk of unlabelled texts being called negative, less the positives' part
@@ -149,11 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(x, found.column("label").to_numpy())
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: id_col, score (0 to 1), predicted (1 from 0.5), and the columns to carry."""
-    kept_columns = {f"c{i}": c for i, c in enumerate(carry)}
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(a) for a, c in kept_columns.items()])
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """rows (with a column text) with score and predicted in place of the text."""
     weights = Model(model.weights.astype(np.float32), model.prior, model.slope, model.offset)
+    others = [f.name for f in rows.schema if f.name != "text"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,9 +161,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 texts = part.column("text").to_pylist()
                 found = [weights.scores(np.stack([vector(t) for t in texts[k : k + 512]])) for k in range(0, len(texts), 512)]
                 scores = np.concatenate(found) if found else np.zeros(0)
-                columns = [part.column("id"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), *[part.column(a) for a in kept_columns]]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "score", "predicted", *kept_columns])
+                columns = [*[part.column(c) for c in others], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*others, "score", "predicted"])
 
-    kinds = "".join(f", {a} {rows.schema[a].dataType.simpleString()}" for a in kept_columns)
-    out = rows.mapInArrow(scored, f"id {rows.schema['id'].dataType.simpleString()}, score double, predicted int{kinds}")
-    return out.withColumnsRenamed({"id": id_col, **kept_columns})
+    schema = T.StructType([*[f for f in rows.schema if f.name != "text"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return rows.mapInArrow(scored, schema)
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id_col, score (0 to 1), predicted (1 from 0.5)."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _scored(rows, model).withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the model predicts to be good, as they are."""
+    named = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in named.items()], F.col(text_col).alias("text"))
+    return _scored(rows, model).filter("predicted = 1").select(*[F.col(a).alias(c) for c, a in named.items()])

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from fiscalframe.llm import decontamination, exact_dedup, language, licenses, mixing, pseudonyms, quality, secret_scan, simhash, substring_dedup
 from fiscalframe.llm.common import held_out, table
 from fiscalframe.llm.sql import oracle_sql  # noqa: F401
@@ -82,4 +83,5 @@ def queries() -> dict[str, Query]:
         "op8_simhash": op8_simhash,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_quality": op10_quality,
+        "pipeline": corpus_pipeline.run,
     }
