@@ -73,10 +73,10 @@ def train(x: np.ndarray, names: list[str], steps: int = 150) -> Model:
     y = code[[known.index(n) for n in names]]
     x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
     # Trigram shares are small numbers; scaled up, few steps suffice.
-    weights, adam = np.zeros((x1.shape[1], code.shape[1])), Adam((x1.shape[1], code.shape[1]), 1.0)
+    weights, adam = np.zeros((x1.shape[1], code.shape[1]), np.float32), Adam((x1.shape[1], code.shape[1]), 1.0)
     for _ in range(steps if code.shape[1] else 0):
-        wrong = sigmoid(-y * (x1 @ weights))
-        weights -= adam.step(-(x1.T @ (wrong * y)) / len(x1) + 1e-5 * weights)
+        wrong = (y * sigmoid(-y * (x1 @ weights)) / len(x1)).astype(np.float32)
+        weights = (weights - adam.step(1e-5 * weights - x1.T @ wrong)).astype(np.float32)
     right = ((x1 @ weights) * y > 0).mean(axis=0)
     return Model(tuple(known), code, weights.astype(np.float32), np.maximum(2 * right - 1, 0.05))
 

@@ -31,7 +31,7 @@ from fiscalframe.llm.common import slices
 from fiscalframe.llm.features import Adam, sigmoid, trigrams, unit
 
 POSITIVES = 2000
-UNLABELLED = 4000
+UNLABELLED = 3000
 BUCKETS = 2048
 _KINDS = np.full(256, 4, np.uint8)  # byte classes: 0 lower case, 1 upper case, 2 digit, 3 space, 4 mark, 5 beyond ASCII
 for _bytes, _kind in ((range(97, 123), 0), (range(65, 91), 1), (range(48, 58), 2), ((9, 10, 11, 12, 13, 32), 3), (range(128, 256), 5)):
@@ -45,11 +45,9 @@ def measures(data: bytes) -> np.ndarray:
     counts = Counter(words)
     top = counts.most_common(1)[0][1] if counts else 0
     n = max(1, len(words))
-    pairs = sum(map(bytes.__eq__, words, words[1:])) / n
-    bare = sum(not w.isalnum() and w.isascii() for w in counts) / max(1, len(counts))
     lines = data.split(b"\n")
     lengths = [np.log1p(len(words)) / 10, np.log1p(len(data) / n) / 5, np.log1p(len(data) / len(lines)) / 10]
-    return np.array([*kinds, len(counts) / n, top / n, pairs, bare, len(set(lines)) / len(lines), *lengths, not words], np.float32)
+    return np.array([*kinds, len(counts) / n, top / n, len(set(lines)) / len(lines), *lengths, not words], np.float32)
 
 
 MEASURES = len(measures(b""))
@@ -72,22 +70,25 @@ class Model:
         return sigmoid(self.slope * (x @ self.weights).astype(np.float64) + self.offset)
 
 
-def non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, decay: float = 1e-3) -> np.ndarray:
+def non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, decay: float = 1e-3) -> np.ndarray:
     """Weights of the least non-negative risk with logistic loss.
 
     The risk of unlabelled texts being called negative, less the positives' part
     in it, cannot truly be below zero; while it is, the steps undo the overfit.
     """
-    weights, adam = np.zeros(positive.shape[1]), Adam(positive.shape[1], 0.1)
+    weights, adam = np.zeros(positive.shape[1], np.float32), Adam(positive.shape[1], 0.1)
+    all_positive = positive.mean(axis=0)
     for _ in range(steps):
-        p, u = sigmoid(positive @ weights), sigmoid(unlabelled @ weights)
-        as_negative = unlabelled.T @ u / len(u) - prior * (positive.T @ p) / len(p)
-        risk = np.logaddexp(0, unlabelled @ weights).mean() - prior * np.logaddexp(0, positive @ weights).mean()
+        of_positive, of_unlabelled = positive @ weights, unlabelled @ weights
+        u = sigmoid(of_unlabelled) / len(unlabelled)
+        risk = np.logaddexp(0, of_unlabelled).mean() - prior * np.logaddexp(0, of_positive).mean()
         if risk < 0:
-            gradient = -as_negative
+            p = sigmoid(of_positive) / len(positive)
+            gradient = prior * (p.astype(np.float32) @ positive) - u.astype(np.float32) @ unlabelled
         else:
-            gradient = as_negative - prior * (positive.T @ (1 - p)) / len(p)
-        weights = weights - adam.step(gradient + decay * weights)
+            # The slopes of both losses of a positive add up to minus one.
+            gradient = u.astype(np.float32) @ unlabelled - prior * all_positive
+        weights = (weights - adam.step(gradient + decay * weights)).astype(np.float32)
     return weights
 
 
