@@ -20,7 +20,6 @@ from fiscalframe.functions.dates import parse_italian_date  # noqa: E402
 from fiscalframe.functions.numbers import comma_decimals, parse_italian_number  # noqa: E402
 from fiscalframe.functions.text import clean_capture  # noqa: E402
 from fiscalframe.operators.fields import extract_field, extract_fields  # noqa: E402
-from fiscalframe.operators.materialise import materialise  # noqa: E402
 from fiscalframe.operators.reads import read_documents  # noqa: E402
 from fiscalframe.operators.rules import DATE_FORMATS, PATTERNS, ExtractionRules, merge_rule_tables  # noqa: E402
 from fiscalframe.plans import reports  # noqa: E402
@@ -35,7 +34,7 @@ from fiscalframe.plans.pipeline import extract_invoices  # noqa: E402
 from fiscalframe.sinks.csv_text import csv_lines  # noqa: E402
 from fiscalframe.sources.files import skipped_files  # noqa: E402
 from fiscalframe.sources.pages import assemble_pages  # noqa: E402
-from fiscalframe.sources.tables import read_spread  # noqa: E402
+from fiscalframe.sources.tables import read_table  # noqa: E402
 
 # The corpus operators are a folder of their own, which may be absent.
 try:
@@ -55,22 +54,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Partitions to spread CPU-bound inputs over, where tables have fewer row groups than there are cores.
+# Unset, as on a cluster, tables are read as they lie.
+SPREAD = int(os.environ.get("FISCALFRAME_SPREAD", "0")) or None
+
+
 def _spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return read_spread(spark, f"{sf_dir}/{name}.parquet", *columns)
+    return read_table(spark, f"{sf_dir}/{name}.parquet", *columns, partitions=SPREAD)
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered corpus, extracted."""
     return extract_invoices(
         corpus_files(spark, sf_dir),
-        corpus_pages(spark, sf_dir),
+        corpus_pages(spark, sf_dir, SPREAD),
         corpus_manifest(spark, sf_dir),
-        unique_manifest=True,
     )
 
 
 def corpus_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble_pages(corpus_pages(spark, sf_dir)).select("path", "text")
+    return assemble_pages(corpus_pages(spark, sf_dir, SPREAD)).select("path", "text")
 
 
 def prose(spark: SparkSession, sf_dir: str, table: str, key: str, text: str) -> DataFrame:
@@ -146,21 +149,100 @@ def q_field(field: str, column: str) -> Query:
     return query
 
 
+# Per field and rule a text in which that rule, and none before it, yields the value; {} is made of the order.
+# Left out are rules that cannot win: what the third total rule finds, the first one finds; the last two total
+# rules want what the first takes part of; and rule 4 of the supplier needs a text without the words of the others.
+RULE_TEXTS = {
+    "invoice_number": (
+        ("1", "Ricevuta n. R/{} pagata"),
+        ("1 again", "numero documento: {}"),
+        ("2", "ddt ; \nnumero fattura: Q/{}"),
+        ("3", "N.FATTURA_{}"),
+        ("4", "ddt ; \nProtocollo: P-{}"),
+        ("none", "ordine {}"),
+    ),
+    "date": (
+        ("1", "del documento: {:dd/MM/yyyy} e data 1999-1-1"),
+        ("2", "Data: {:yyyy-MM-dd} oppure 01/02/1999"),
+        ("3", "Roma, {:dd.MM.yyyy}"),
+        ("4", "Emessa il {:dd} marzo {:yyyy}"),
+        ("none", "Emessa nel {:yyyy}"),
+    ),
+    "total": (
+        ("1", "Importo documento: EUR {:it}"),
+        ("2", "Totale da pagare: {:it}"),
+        ("4", "In tutto € {:it}"),
+        ("5", "Tot. {:it}"),
+        ("none", "In tutto {:it}"),
+    ),
+    "supplier_name": (
+        ("1", "Mittente: Casa {}\nEmail x"),
+        ("2", "Spett.le Casa {} | resto"),
+        ("3", "Ragione sociale: Casa {} tel 1"),
+        ("4", "Casa {} S.n.c. di Roma"),
+        ("none", "Casa {}"),
+    ),
+    "vat_number": (
+        ("1", "Partita IVA: {:vat} e 99999999999 |"),
+        ("2", "Codice {:vat} |"),
+        ("3", "Cod. fisc: {:vat} qui"),
+        ("none", "Numero {:vat} qui"),
+    ),
+}
+
+
+def _rule_text(template: str) -> Column:
+    made = {
+        "{}": F.col("o_orderkey").cast("string"),
+        "{:it}": italian_amount(F.col("o_totalprice")),
+        "{:vat}": F.lpad(F.col("o_custkey").cast("string"), 11, "0"),
+    }
+    text = F.lit(template)
+    for shape in ("dd/MM/yyyy", "yyyy-MM-dd", "dd.MM.yyyy", "dd", "yyyy"):
+        made[f"{{:{shape}}}"] = F.date_format("o_orderdate", shape)
+    for place, value in made.items():
+        if place in template:
+            text = F.replace(text, F.lit(place), value)
+    return text
+
+
 def q_rule_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each later rule of a field gets its turn: per order, one text per rule of the invoice number."""
-    number = F.col("o_orderkey").cast("string")
-    texts = _spread(spark, sf_dir, "orders", "o_orderkey").select(
-        "o_orderkey",
-        _choices(
-            "rule",
-            "text",
-            ("keyword", F.concat(F.lit("Ricevuta n. R/"), number, F.lit(" pagata"))),
-            ("after_number", F.concat(F.lit("numero documento: "), number)),
-            ("empty_then_next", F.concat(F.lit("ddt ; \nProtocollo: P-"), number)),
-            ("none", F.concat(F.lit("ordine "), number)),
-        ),
-    )
-    return extract_field(texts, "text", "invoice_number", ExtractionRules()).select("o_orderkey", "rule", "invoice_number")
+    """Each rule of each field gets its turn: per order, one text per rule that can win."""
+    orders = _spread(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    fields = []
+    for field, texts in RULE_TEXTS.items():
+        rendered = orders.select("o_orderkey", _choices("rule", "text", *[(rule, _rule_text(text)) for rule, text in texts]))
+        found = extract_field(rendered, "text", field, ExtractionRules())
+        fields.append(found.select("o_orderkey", F.lit(field).alias("field"), "rule", F.col(field).alias("capture")))
+    whole = fields[0]
+    for more in fields[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def q_wide_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns printed 200 blanks apart; every other order lacks its amount."""
+    gap = F.repeat(F.lit(" "), 200)
+    amount = F.when(F.col("o_orderkey") % 2 == 0, italian_amount(F.col("o_totalprice"))).otherwise(F.lit("x"))
+    text = F.concat(
+        F.lit("FATTURA"), gap, F.lit("N."), gap, F.lit("INV-"), F.col("o_orderkey"), gap, F.lit("\nData:"), gap,
+        F.date_format("o_orderdate", "yyyy-MM-dd"), gap, F.lit("\nP."), gap, F.lit("IVA"), gap, F.lpad(F.col("o_custkey").cast("string"), 11, "0"),
+        gap, F.lit("\nTotale"), gap, F.lit("documento"), gap, F.lit(":"), gap, F.lit("EUR"), gap, amount, gap,
+    )
+    orders = _spread(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    found = extract_fields(orders.select("o_orderkey", text.alias("text")))
+    return found.select("o_orderkey", "invoice_number", "date", "total", "vat_number")
+
+
+def q_odd_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary over a manifest with repeats and requests without a path, and over file rows that repeat."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    path = F.concat(F.lit("/archivio/"), F.date_format("o_orderdate", "yyyy/MM"), F.lit("/ordine_"), F.col("o_orderkey"), F.lit(".pdf"))
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    asked = F.when(F.col("l_linenumber") % 3 != 0, path)
+    manifest = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(asked.alias("path"))
+    files = corpus_files(spark, sf_dir)
+    return reports.summary(extract_invoices(files.unionByName(files), corpus_pages(spark, sf_dir, SPREAD), manifest))
 
 
 def q_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,11 +360,11 @@ def q_fatture_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_fatture_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.fatture_with_total(materialise(invoices(spark, sf_dir)))
+    return reports.fatture_with_total(invoices(spark, sf_dir))
 
 
 def q_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return csv_lines(materialise(invoices(spark, sf_dir)))
+    return csv_lines(invoices(spark, sf_dir))
 
 
 def q_preview_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,6 +472,8 @@ def invoice_queries() -> dict[str, Query]:
         "f_total": q_field("total", "total"),
         "f_supplier": q_field("supplier_name", "supplier_name"),
         "f_vat": q_field("vat_number", "vat_number"),
+        "wide_gaps": q_wide_gaps,
+        "odd_requests": q_odd_requests,
         "extract_all": q_extract_all,
         "parse_number": q_parse_number,
         "parse_date": q_parse_date,

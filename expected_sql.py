@@ -6,17 +6,9 @@ from fiscalframe.operators.rules import FIELDS, PATTERNS
 
 # --- rendered invoices: what must be read back is known from the order ----------
 
-LABELS = {
-    "invoice_number": "numero fattura",
-    "date": "data",
-    "total": "totale",
-    "supplier_name": "fornitore",
-    "vat_number": "partita IVA",
-}
-
 CORPUS = """
 WITH numbered AS (
-  SELECT o.*, c.c_name, o_orderkey % 12 AS k,
+  SELECT o.*, c.c_name, o_orderkey % 14 AS k,
          '/archivio/' || strftime(o_orderdate, '%Y/%m') || '/ordine_' || o_orderkey || '.pdf' AS path,
          'ordine_' || o_orderkey || '.pdf' AS filename,
          CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS amount
@@ -32,8 +24,11 @@ WITH numbered AS (
          CASE k WHEN 8 THEN 'Nessun testo estraibile da ' || filename || ': probabilmente è una scansione. Serve un OCR.'
                 WHEN 9 THEN 'Il file è vuoto (0 byte): ' || filename
                 WHEN 10 THEN 'PDF danneggiato o protetto da password: ' || filename || ' (No /Root object! - Is this really a PDF?)'
-                WHEN 11 THEN 'File PDF non trovato: ' || path END AS error,
-         CASE k WHEN 8 THEN 'scanned' WHEN 9 THEN 'empty' WHEN 10 THEN 'corrupt' WHEN 11 THEN 'missing' END AS error_kind
+                WHEN 11 THEN 'File PDF non trovato: ' || path
+                WHEN 12 THEN 'Il PDF non contiene pagine: ' || filename
+                WHEN 13 THEN 'Errore imprevisto durante la lettura: accesso negato' END AS error,
+         CASE k WHEN 8 THEN 'scanned' WHEN 9 THEN 'empty' WHEN 10 THEN 'corrupt' WHEN 11 THEN 'missing' WHEN 12 THEN 'corrupt'
+                WHEN 13 THEN 'unexpected' END AS error_kind
   FROM numbered
 ), invoices AS (
   SELECT *, CASE WHEN k >= 8 THEN 'Errore' WHEN k = 6 THEN 'Incompleto' ELSE 'OK' END AS status_it,
@@ -214,10 +209,52 @@ SELECT c_custkey, wrapping, CASE WHEN wrapping IN ('minus', 'two_minus') THEN '-
   WHEN wrapping = 'nothing' THEN '' ELSE c_name END AS cleaned
 FROM customer, (SELECT unnest(['bare', 'space', 'marks', 'dashes', 'mixed', 'minus', 'two_minus', 'nothing']) AS wrapping)
 """
-_RULES = """
-SELECT o_orderkey, rule, CASE rule WHEN 'keyword' THEN 'R/' || o_orderkey WHEN 'after_number' THEN CAST(o_orderkey AS VARCHAR)
-  WHEN 'empty_then_next' THEN 'P-' || o_orderkey END AS invoice_number
-FROM orders, (SELECT unnest(['keyword', 'after_number', 'empty_then_next', 'none']) AS rule)
+_AMOUNT = "replace(replace(replace(format('{:,.2f}', o_totalprice), ',', '#'), '.', ','), '#', '.')"
+_VAT = "lpad(CAST(o_custkey AS VARCHAR), 11, '0')"
+_RULES = " UNION ALL ".join(
+    f"SELECT o_orderkey, '{field}' AS field, '{rule}' AS rule, {value} AS capture FROM orders"
+    for field, rule, value in (
+        ("invoice_number", "1", "'R/' || o_orderkey"),
+        ("invoice_number", "1 again", "CAST(o_orderkey AS VARCHAR)"),
+        ("invoice_number", "2", "'Q/' || o_orderkey"),
+        ("invoice_number", "3", "'_' || o_orderkey"),
+        ("invoice_number", "4", "'P-' || o_orderkey"),
+        ("invoice_number", "none", "NULL"),
+        ("date", "1", "strftime(o_orderdate, '%d/%m/%Y')"),
+        ("date", "2", "strftime(o_orderdate, '%Y-%m-%d')"),
+        ("date", "3", "strftime(o_orderdate, '%d.%m.%Y')"),
+        ("date", "4", "strftime(o_orderdate, '%d')"),
+        ("date", "none", "NULL"),
+        ("total", "1", _AMOUNT),
+        ("total", "2", _AMOUNT),
+        ("total", "4", _AMOUNT),
+        ("total", "5", _AMOUNT),
+        ("total", "none", "NULL"),
+        ("supplier_name", "1", "'Casa ' || o_orderkey"),
+        ("supplier_name", "2", "'Casa ' || o_orderkey"),
+        ("supplier_name", "3", "'Casa ' || o_orderkey"),
+        ("supplier_name", "4", "'Casa ' || o_orderkey || ' S.n.c'"),
+        ("supplier_name", "none", "NULL"),
+        ("vat_number", "1", _VAT),
+        ("vat_number", "2", _VAT),
+        ("vat_number", "3", _VAT),
+        ("vat_number", "none", "NULL"),
+    )
+)
+_WIDE = f"""
+SELECT o_orderkey, 'INV-' || o_orderkey AS invoice_number, strftime(o_orderdate, '%Y-%m-%d') AS date,
+       CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS total, {_VAT} AS vat_number
+FROM orders
+"""
+_ODD = """, asked AS (
+  SELECT CASE WHEN l_linenumber % 3 <> 0 THEN o_orderkey END AS key FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+), found AS (
+  SELECT CASE WHEN key IS NULL THEN 11 ELSE k END AS k, CASE WHEN key IS NOT NULL THEN total END AS total FROM asked LEFT JOIN invoices ON key = o_orderkey
+)
+SELECT count(*) AS processed, count(*) FILTER (k <= 7 AND k <> 6) AS ok, count(*) FILTER (k = 6) AS incomplete,
+       count(*) FILTER (k >= 8) AS failed, count(*) FILTER (k IN (4, 5)) AS credit_notes,
+       coalesce(CAST(sum(CAST(total AS DECIMAL(18,2))) AS DOUBLE), 0) AS grand_total
+FROM found
 """
 _CUSTOM = """
 SELECT o_orderkey,
@@ -264,6 +301,8 @@ SELECT conv_id, count(*) AS n_pages, coalesce(string_agg(text, chr(10) ORDER BY
 FROM conversations GROUP BY conv_id""",
         "clean_capture": _CLEANED,
         "rule_chain": _RULES,
+        "wide_gaps": _WIDE,
+        "odd_requests": CORPUS.rstrip() + _ODD,
         "f_invoice_number": fields.format("invoice_number"),
         "f_date": fields.format("date"),
         "f_total": fields.format("total"),

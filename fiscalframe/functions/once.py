@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def computed_once(value: Column) -> Column:
-    """The same value, as a column that filters and projections above do not copy.
+def with_computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that filters and projections above do not copy.
 
     A filter on a projected column is normally pushed below the projection with
     the column's expression in place of its name: an extracted field would be
-    extracted once per mention in the filter, and again for the output.  Spark
-    leaves non-deterministic columns where they are, and the partition id is one
-    that costs nothing.  Unused columns are still pruned.
+    extracted once per mention in the filter, and again for the output.  A
+    generator of one row keeps such filters above, while those on the other
+    columns still reach the scan.  A generator is computed even if its column is
+    not read, so only wanted columns should be added.
 
-    The value comes first in the coalesce, since parts that repeat within it are
-    evaluated once only where they are evaluated always.
+    The value is projected below the generator, which keeps its code in a method
+    of its own.
     """
-    return F.coalesce(value, F.when(F.spark_partition_id() < 0, F.lit(None)))
+    return df.withColumn("_once", value).select(*df.columns, F.inline(F.array(F.struct(F.col("_once").alias(name)))))
 
 
 def non_empty(text: Column) -> Column:

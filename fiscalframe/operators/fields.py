@@ -7,11 +7,10 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fiscalframe.functions.dates import parse_italian_date
-from fiscalframe.functions.dialect import to_java
 from fiscalframe.functions.numbers import exact_cents, parse_italian_number
-from fiscalframe.functions.once import computed_once, non_empty
+from fiscalframe.functions.once import non_empty, with_computed_once
 from fiscalframe.functions.text import clean_capture
-from fiscalframe.operators.rules import FIELDS, ExtractionRules, may_match, odd_case
+from fiscalframe.operators.rules import FIELDS, ExtractionRules, may_match, odd_case, run_form
 
 
 @lru_cache(maxsize=64)
@@ -24,7 +23,7 @@ def first_capture(text: str, patterns: tuple[str, ...], lowered: str, odd: str)
     """
     tries = []
     for pattern in patterns:
-        found = non_empty(clean_capture(F.regexp_extract(text, to_java(pattern), 1)))
+        found = non_empty(clean_capture(F.regexp_extract(text, run_form(pattern), 1)))
         condition = may_match(pattern, text, lowered, odd)
         tries.append(found if condition is None else F.when(condition, found))
     return F.coalesce(*tries)
@@ -37,15 +36,11 @@ def first_captures(
     fields: tuple[str, ...] = FIELDS,
     prefix: str = "",
 ) -> DataFrame:
-    """Adds the first capture of each field.
-
-    Every field gets a projection of its own, which bounds the generated code
-    per method.
-    """
+    """Adds the first capture of each of the given fields."""
     found = df.withColumns({"_lowered": F.lower(text), "_odd_case": odd_case(text)})
     for field in fields:
         capture = first_capture(text, rules.patterns[field], "_lowered", "_odd_case")
-        found = found.withColumn(prefix + field, computed_once(capture))
+        found = with_computed_once(found, prefix + field, capture)
     return found.drop("_lowered", "_odd_case")
 
 
@@ -54,29 +49,36 @@ def extract_field(df: DataFrame, text: str, field: str, rules: ExtractionRules)
     return first_captures(df, text, rules, (field,))
 
 
-def extract_fields(df: DataFrame, text: str = "text", rules: ExtractionRules | None = None) -> DataFrame:
-    """Adds the five fields of a document: number, date, total, supplier and VAT number.
+def extract_fields(
+    df: DataFrame,
+    text: str = "text",
+    rules: ExtractionRules | None = None,
+    fields: tuple[str, ...] = FIELDS,
+) -> DataFrame:
+    """Adds the fields of a document: number, date, total, supplier and VAT number, or those asked for.
 
-    A date that cannot be parsed is kept as found; a total that is no number is null.
+    A date comes with ``date_parsed``, a total with ``total_dec``.  A date that
+    cannot be parsed is kept as found; a total that is no number is null.
     """
     rules = rules or ExtractionRules()
-    captured = first_captures(df, text, rules, prefix="_raw_")
+    fields = tuple(f for f in FIELDS if f in fields)
+    found = first_captures(df, text, rules, fields, prefix="_raw_")
     iso_date, total = _parsed("_raw_date", rules.date_formats, "_raw_total")
-    parsed = captured.withColumn("_iso_date", iso_date).withColumn("total", total)
-    return parsed.select(
-        *df.columns,
-        F.col("_raw_invoice_number").alias("invoice_number"),
-        F.coalesce("_iso_date", "_raw_date").alias("date"),
-        F.col("_iso_date").try_cast("date").alias("date_parsed"),
-        "total",
-        exact_cents(F.col("total")).alias("total_dec"),
-        F.col("_raw_supplier_name").alias("supplier_name"),
-        F.col("_raw_vat_number").alias("vat_number"),
-    )
+    if "date" in fields:
+        found = with_computed_once(found, "_iso_date", iso_date)
+    if "total" in fields:
+        found = with_computed_once(found, "total", total)
+    columns = {
+        "invoice_number": [F.col("_raw_invoice_number").alias("invoice_number")],
+        "date": [F.coalesce("_iso_date", "_raw_date").alias("date"), F.col("_iso_date").try_cast("date").alias("date_parsed")],
+        "total": [F.col("total"), exact_cents(F.col("total")).alias("total_dec")],
+        "supplier_name": [F.col("_raw_supplier_name").alias("supplier_name")],
+        "vat_number": [F.col("_raw_vat_number").alias("vat_number")],
+    }
+    return found.select(*df.columns, *[c for f in fields for c in columns[f]])
 
 
 @lru_cache(maxsize=64)
 def _parsed(date: str, formats: tuple[str, ...], total: str) -> tuple[Column, Column]:
     """The date and total of the named capture columns."""
-    iso_date = parse_italian_date(F.col(date), formats)
-    return computed_once(iso_date), computed_once(parse_italian_number(F.col(total)))
+    return parse_italian_date(F.col(date), formats), parse_italian_number(F.col(total))

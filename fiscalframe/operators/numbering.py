@@ -4,36 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fiscalframe.operators.materialise import materialise
+BUCKETS = 200
 
 
-def number_rows(df: DataFrame, *order: Column, name: str = "n", total: str | None = None) -> DataFrame:
+def number_rows(df: DataFrame, *order: Column, name: str = "n", total: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Adds 1, 2, 3, ... in the given order, and the row count if ``total`` names a column.
 
-    A range sort spreads the rows over partitions in order; a row's number is
-    its position there plus the sizes of the partitions before.  A plain window
-    would move the whole table into one task.  The order must be unique or ties
-    numbered either way.
+    Rows of equal order are numbered by a hash of the row, rows alike in all
+    either way.  A plain window would move the whole table into one task: here
+    the sort keys of the rows with the least hashes, spread evenly as they are, part
+    the rows into buckets, which are sorted each by itself; a row's number is its place there
+    plus the sizes of the buckets before.  No job runs before the action;
+    df is read three times, twice for its sort keys only.
     """
-    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    # Kept, because sorting again could cut the partitions differently.
-    placed = materialise(
-        df.orderBy(*order).withColumns({"_partition": F.spark_partition_id(), "_position": position})
-    )
-    before = Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # One row per partition of the sort.
+    # Hashed again for the choice, so that the keys chosen are not all of low hash.
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.withColumn("_key", F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], tie.alias("tie")))
+    least = rows.select("_key").orderBy(F.xxhash64(F.col("_key.tie"), F.lit(1)), "_key").limit(buckets)
+    bounds = least.agg(F.array_sort(F.collect_set("_key")).alias("_bounds"))
+    # One row on the right, and at most so many bounds in it.
+    below = F.size(F.filter("_bounds", lambda bound: bound < F.col("_key")))
+    placed = rows.join(F.broadcast(bounds)).withColumn("_bucket", below).drop("_bounds")
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = (
-        placed.groupBy("_partition")
+        placed.groupBy("_bucket")
         .agg(F.count("*").alias("_rows"))
         .select(
-            "_partition",
+            "_bucket",
             F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
             F.sum("_rows").over(everything).alias("_total"),
         )
     )
-    numbered = placed.join(F.broadcast(offsets), "_partition")
-    columns = [(F.col("_offset") + F.col("_position") + 1).alias(name), *df.columns]
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key"))
+    numbered = placed.withColumn("_place", place).join(F.broadcast(offsets), "_bucket")
+    columns = [(F.col("_offset") + F.col("_place")).alias(name), *df.columns]
     if total:
         columns.append(F.col("_total").alias(total))
     return numbered.select(*columns)

@@ -20,6 +20,8 @@ def error_kind(size: Column, unexpected: Column, decode_error: Column, n_pages:
 
 
 def error_message(kind: Column, path: Column, name: Column, unexpected: Column, decode_error: Column) -> Column:
+    """The message shown for an unreadable document; a missing path or name is shown as nothing.  The texts are fixed values."""
+    path, name = F.coalesce(path, F.lit("")), F.coalesce(name, F.lit(""))
     unreadable = F.concat(F.lit("PDF danneggiato o protetto da password: "), name, F.lit(" ("), decode_error, F.lit(")"))
     return (
         F.when(kind == "unexpected", F.concat(F.lit("Errore imprevisto durante la lettura: "), unexpected))
@@ -54,17 +56,19 @@ def document_texts(pages: DataFrame, manifest: DataFrame | None = None) -> DataF
 def with_read_errors(texts: DataFrame, files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     """Joins per-document rows to the requested documents and says which of these cannot be read.
 
-    Gives one row per path: the columns of ``texts`` without ``n_pages`` and
+    Gives one row per path, a null one included: the columns of ``texts`` without ``n_pages`` and
     ``blank``, which it must have, all null for unreadable documents; and
     filename, error_kind and error.
     """
     for name in ("file_name", "decode_error", "unexpected_error"):
         if name not in files.columns:
             files = files.withColumn(name, F.lit(None).cast("string"))
-    files = files.select("path", "file_name", "file_size", "decode_error", "unexpected_error")
-    requested = files
+    # Of several rows of a path the one with the largest size counts.
+    known = F.max(F.struct("file_size", "file_name", "decode_error", "unexpected_error")).alias("known")
+    requested = files.groupBy("path").agg(known).select("path", "known.*")
     if manifest is not None:
-        requested = manifest.select("path").distinct().join(files, "path", "left")
+        asked = manifest.select(F.col("path").alias("_asked")).distinct()
+        requested = asked.join(requested, F.col("_asked").eqNullSafe(F.col("path")), "left").drop("path").withColumnRenamed("_asked", "path")
 
     path, name, kind = F.col("path"), F.col("filename"), F.col("error_kind")
     unexpected, decode_error = F.col("unexpected_error"), F.col("decode_error")

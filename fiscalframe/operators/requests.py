@@ -4,31 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# The most requested paths are spread, if they have that many requests.  Any
-# other path holds less than 1/HOT_PATHS of all requests, however many there are.
-HOT_PATHS = 1000
-HOT_REQUESTS = 1000
-SALTS = 256
-
 
 def per_request(manifest: DataFrame, invoices: DataFrame, order: str | None = None) -> DataFrame:
-    """Joins per-path results to the manifest, keeping repeats and its ``order`` column.
+    """Joins per-path results to the manifest, keeping repeats, requests without a path and the ``order`` column.
 
-    Requests of a hot path are spread over SALTS join keys; its one result row
-    is copied to each of them.  All other paths keep a single key.
+    One join with the requests on the side that is kept: where a path, or none,
+    holds very many of them, AQE splits its requests over tasks and copies the
+    one result row to each.
     """
-    columns = ["path"] if order is None else ["path", order]
-    requests = manifest.select(*columns)
-    counts = requests.groupBy("path").count().filter(F.col("count") > HOT_REQUESTS)
-    hot = counts.orderBy(F.desc("count")).limit(HOT_PATHS).select("path").collect()
-    if not hot:
-        return requests.join(invoices, "path", "left")
-
-    hot_paths = F.broadcast(manifest.sparkSession.createDataFrame(hot, "path string").withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(F.col(order)) if order else F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    salted_requests = requests.join(hot_paths, "path", "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_invoices = invoices.join(hot_paths, "path", "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted_requests.drop("_hot").join(salted_invoices, ["path", "_salt"], "left").drop("_salt")
+    requests = manifest.select(F.col("path").alias("_path"), *([order] if order else []))
+    joined = requests.join(invoices, F.col("_path").eqNullSafe(invoices["path"]), "left")
+    rest = [c for c in invoices.columns if c != "path"]
+    return joined.select(F.col("_path").alias("path"), *([order] if order else []), *rest)

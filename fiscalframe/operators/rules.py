@@ -76,8 +76,59 @@ FIELD_LABELS = {
 }
 # --- end of fixed values ------------------------------------------------------
 
-# Rules become part of the query plan, so a rule set is configuration-sized.
-MAX_RULES = 1000
+# How the built-in rules are run.  The published texts above stay the rules'
+# identity; these find the same first match, but possessive runs of spaces are not tried in every
+# split when nothing follows them, so wide gaps cost linear time.  Optional marks
+# and words are possessive only where the capture cannot begin with them.
+_RUN_AMOUNT = r"\(?+\s*+(?:[-−]\s*+)?+\d{1,3}(?:[. ]\d{3})*(?:,\d{1,2})?\s*+\)?"
+_RUN_CODE = r"(\S[\w/\-.]{0,40}?)(?:\s|$|\\n)"
+_RUN_VAT_WORD = r"p[.]?+\s*+(?:[.]\s*+)?+iva"
+_RUN_TAX_WORD = r"cod\s*+(?:[.]\s*+)?+fisc"
+RUN_FORMS: dict[str, tuple[str, ...]] = {
+    "invoice_number": (
+        rf"(?:fattura|ricevuta|nota\s*+(?:di\s*+)?+(?:credito|debito)|documento|ddt)\s*+[nN]?[.:]?\s*+{_RUN_CODE}",
+        rf"(?:numero|n[.:])\s*+(?:fattura|documento|ricevuta)\s*+[.:]?\s*+{_RUN_CODE}",
+        r"[nN][.:]?\s*+FATTURA\s*+([\w/\-.]{1,40})",
+        rf"protocollo[.:]?\s*+{_RUN_CODE}",
+    ),
+    "date": (
+        r"(?:data|del)\s*+(?:fattura|documento|ricevuta|emissione)\s*+(?:[.:]\s*+)?+(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4})",
+        r"data[.:]?+\s*+(\d{4}[/\-.]\d{1,2}[/\-.]\d{1,2})",
+        PATTERNS["date"][2],
+        PATTERNS["date"][3].replace(r"\s*", r"\s*+"),
+    ),
+    "total": (
+        rf"(?:totale|importo)\s*+(?:(?:fattura|documento)\s*+)?+(?:[.:]\s*+)?+(?:(?:€|euro|eur|usd)\s*+)?+({_RUN_AMOUNT})",
+        rf"(?:importo\s*+totale|totale(?:\s*+(?:documento|da\s*+pagare|fattura))?+)\s*+(?:[.:]\s*+)?+(?:€\s*+)?+({_RUN_AMOUNT})",
+        rf"importo[.:]?+\s*+(?:€\s*+)?+({_RUN_AMOUNT})",
+        rf"(?:€|euro|eur)\s*+({_RUN_AMOUNT})",
+        r"(?:totale|importo|tot\.?+)\s*+(?:[.:]\s*+)?+(\(?+\s*+(?:[-−]\s*+)?+\d{1,3}(?:[. ]\d{3})*,\d{2}\s*+\)?)",
+        r"(?:totale|importo)\s*+(?:(?:€|eur)\s*+)?+([-−]?+\d++(?:,\d{1,2}|\.\d{2}))",
+    ),
+    "supplier_name": (
+        rf"(?:fornitore|mittente|emittente|dal|prestatore)\s*+[.:]?+\s*+(.+?)(?:\\n|\||via\s|{_RUN_VAT_WORD}|{_RUN_TAX_WORD}|indirizzo|telefono|email|$)",
+        r"spett[.]?+\s*+le\s*+(.+?)(?:\\n|\||via\s|c.a\.|p[.]?+\s*+iva)",
+        r"(?:ragione\s*+sociale|denominazione|ditta|societ[àa])\s*+[.:]?+\s*+(.+?)(?:\\n|\||via|p[.]?+\s*+iva|cod\s*+fisc|tel)",
+        PATTERNS["supplier_name"][3],
+    ),
+    "vat_number": (
+        rf"(?:{_RUN_VAT_WORD}|partita\s*+iva)\s*+(?:[.:]\s*+)?+([\d]{{11}})",
+        PATTERNS["vat_number"][1],
+        rf"(?:{_RUN_TAX_WORD}|codice\s*+fiscale)\s*+(?:[.:]\s*+)?+([\d]{{11}})",
+    ),
+}
+_RUN_FORM_OF = {pattern: form for name in FIELDS for pattern, form in zip(PATTERNS[name], RUN_FORMS[name], strict=True)}
+
+
+def run_form(pattern: str) -> str:
+    """The Java regex that finds a rule's first match."""
+    return to_java(_RUN_FORM_OF.get(pattern, pattern))
+
+
+# Corrected spellings of two surprising rules, for those who ask: whole amounts
+# without thousands separators, and long dates with their month.
+LONG_AMOUNTS = r"(?:totale|importo)\s*+(?:(?:fattura|documento|da\s*+pagare)\s*+)?+(?:[.:]\s*+)?+(?:(?:€|euro|eur|usd)\s*+)?+(\(?+\s*+(?:[-−]\s*+)?+\d{4,}+(?:[.,]\d{1,2})?\s*+\)?)"
+LONG_DATES = r"(?<!\d)(\d{1,2}\s*+(?:gennaio|febbraio|marzo|aprile|maggio|giugno|luglio|agosto|settembre|ottobre|novembre|dicembre)\s*+\d{4})"
 
 # One of these words stands in every text that the pattern at the same place in
 # PATTERNS can match, so a text without any of them need not be searched.
@@ -188,6 +239,20 @@ class ExtractionRules:
                 formats = (fmt, *formats)
         return ExtractionRules(merged, formats)
 
+    def with_options(self, long_amounts: bool = False, long_dates: bool = False) -> ExtractionRules:
+        """Both options are off by default, since they read some documents otherwise than the rules as published.
+
+        ``long_amounts``: ``Totale 1250,00`` reads as 1250.0 and not as 125.0.
+        ``long_dates``: ``15 marzo 2024`` in running text reads as that date and not as 15.
+        """
+        rules = self.merge({"total": LONG_AMOUNTS} if long_amounts else {})
+        if not long_dates:
+            return rules
+        # Numeric dates keep their precedence.
+        day_only = PATTERNS["date"][3]
+        dates = [p for known in rules.patterns["date"] for p in ([LONG_DATES, known] if known == day_only else [known])]
+        return ExtractionRules(dict(rules.patterns) | {"date": tuple(dates)}, rules.date_formats)
+
     def table(self, spark: SparkSession) -> DataFrame:
         """The patterns as rows (field, priority, pattern)."""
         rows = [(n, i, p) for n, ps in self.patterns.items() for i, p in enumerate(ps)]
@@ -213,13 +278,13 @@ def merge_rule_tables(custom: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def rules_from_table(table: DataFrame) -> ExtractionRules:
-    """Rule set of a merged rules table, which must be of a size to compile."""
-    rows = table.orderBy("field", "source", "priority").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"Troppe regole: al massimo {MAX_RULES}.")
+    """Rule set of a merged rules table.
+
+    Rules become part of the query plan, so all of them come to the driver; any
+    number is taken, but planning time grows with it.
+    """
     merged: dict[str, list[str]] = {name: [] for name in FIELDS}
-    for row in rows:
-        if row.field in merged:
-            check_pattern(row.field, row.pattern)
-            merged[row.field].append(row.pattern)
+    for row in table.filter(F.col("field").isin(*FIELDS)).orderBy("field", "source", "priority").collect():
+        check_pattern(row.field, row.pattern)
+        merged[row.field].append(row.pattern)
     return ExtractionRules({name: tuple(patterns) for name, patterns in merged.items()})

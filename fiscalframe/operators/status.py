@@ -19,16 +19,16 @@ def labelled(names: Column) -> Column:
     return F.concat(F.lit("Campi non trovati: "), F.array_join(texts, ", "))
 
 
-def with_status(df: DataFrame, error: str = "error") -> DataFrame:
+def with_status(df: DataFrame, error: str = "error", kind: str = "error_kind") -> DataFrame:
     """Adds errors, missing fields, the three flags and the Italian texts.
 
-    A document that could not be read has an error and no missing fields.
+    A document that could not be read has a kind of error and no missing fields.
     """
     empty = F.array().cast("array<string>")
-    failed = F.col(error).isNotNull()
+    failed = F.col(kind).isNotNull()
     issues = df.withColumns(
         {
-            "errors": F.when(failed, F.array(F.col(error))).otherwise(empty),
+            "errors": F.when(failed, F.array(F.coalesce(error, kind))).otherwise(empty),
             "missing_fields": F.when(failed, empty).otherwise(missing_fields()),
         }
     )

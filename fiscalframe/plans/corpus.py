@@ -1,7 +1,7 @@
 """Renders invoices from the orders and customer tables.
 
 The given tables hold no Italian invoices, so every order is printed as one, in
-one of twelve layouts.  What the job should read back is known from the order.
+one of fourteen layouts.  What the job should read back is known from the order.
 """
 
 from __future__ import annotations
@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fiscalframe.functions.numbers import comma_decimals, grouped_two_decimals
-from fiscalframe.sources.tables import read_spread
+from fiscalframe.sources.tables import read_table
 
-LAYOUTS = 12
-ZERO, CREDIT_MINUS, CREDIT_PARENTHESES, NO_VAT, TWO_PAGES, BLANK_PAGE, EMPTY_FILE, DAMAGED, ABSENT = range(3, 12)
+LAYOUTS = 14
+ZERO, CREDIT_MINUS, CREDIT_PARENTHESES, NO_VAT, TWO_PAGES, BLANK_PAGE, EMPTY_FILE, DAMAGED, ABSENT, NO_PAGES, FAILED = range(3, 14)
 
 
 def italian_amount(value: Column) -> Column:
@@ -39,6 +39,7 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files found: all but the absent ones."""
     size = F.when(F.col("layout") == EMPTY_FILE, 0).otherwise(F.lit(1000) + F.pmod(F.col("o_orderkey") * 7919, F.lit(3_000_000)))
     decode_error = F.when(F.col("layout") == DAMAGED, F.lit("No /Root object! - Is this really a PDF?"))
+    unexpected = F.when(F.col("layout") == FAILED, F.lit("accesso negato"))
     return (
         _orders(spark.read.parquet(f"{sf_dir}/orders.parquet"))
         .filter(F.col("layout") != ABSENT)
@@ -47,14 +48,15 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.substring_index("path", "/", -1).alias("file_name"),
             size.cast("bigint").alias("file_size"),
             decode_error.alias("decode_error"),
+            unexpected.alias("unexpected_error"),
         )
     )
 
 
-def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus_pages(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     """Page texts of the readable files."""
     columns = ("o_custkey", "o_totalprice", "o_orderdate")
-    orders = _orders(read_spread(spark, f"{sf_dir}/orders.parquet", "o_orderkey", *columns), *columns)
+    orders = _orders(read_table(spark, f"{sf_dir}/orders.parquet", "o_orderkey", *columns, partitions=partitions), *columns)
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
     # Left, so that an order without its customer still yields a document.
     printed = orders.filter(F.col("layout") <= BLANK_PAGE).join(
@@ -77,12 +79,12 @@ def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     tail = [
         F.concat(F.lit("Totale Fattura: EUR "), amount),
-        F.lit("Descrizione: Servizi di consulenza"),
+        F.lit("Voce unica: fornitura come da ordine"),
         F.concat(F.lit("Imponibile: EUR "), italian_amount(total / 1.22)),
     ]
     one_page = F.concat_ws("\n", *head, *tail)
-    first_of_two = F.concat_ws("\n", *head, F.lit("Dettaglio prestazioni - segue a pagina 2"))
-    second_of_two = F.concat_ws("\n", F.lit("Riepilogo pagina 2"), *tail)
+    first_of_two = F.concat_ws("\n", *head, F.lit("Il conto prosegue sul retro"))
+    second_of_two = F.concat_ws("\n", F.lit("Retro del foglio"), *tail)
     texts = (
         F.when(layout == BLANK_PAGE, F.array(F.lit("")))
         .when(layout == TWO_PAGES, F.array(first_of_two, second_of_two))

@@ -27,20 +27,19 @@ def extract_invoices(
     pages: DataFrame,
     manifest: DataFrame | None = None,
     rules: ExtractionRules | None = None,
-    unique_manifest: bool = False,
 ) -> DataFrame:
     """Invoices of the requested documents; see ``read_documents`` for the inputs.
 
     Unreadable documents become rows with an error, nothing is ever raised for
     one document.  A path that stands in the manifest several times gives as
-    many rows; ``unique_manifest`` says there is none and saves looking.
+    many rows.
 
     Fields are extracted where the pages of a document come together, the only
     place its text is moved to; what is joined to the files afterwards is narrow.
     """
     extracted = extract_fields(document_texts(pages, manifest), "text", rules).drop("text")
     invoices = with_status(with_read_errors(extracted, files, manifest)).select(*INVOICE_COLUMNS)
-    if manifest is None or unique_manifest:
+    if manifest is None:
         return invoices
     order = "seq" if "seq" in manifest.columns else None
     return per_request(manifest, invoices, order).select(*INVOICE_COLUMNS, *([order] if order else []))
@@ -50,4 +49,4 @@ def extract_invoice(files: DataFrame, pages: DataFrame, path: str, rules: Extrac
     """The one row of a single document; only its pages leave the scan."""
     wanted = F.col("path") == path
     manifest = files.sparkSession.createDataFrame([(path,)], "path string")
-    return extract_invoices(files.filter(wanted), pages.filter(wanted), manifest, rules, unique_manifest=True)
+    return extract_invoices(files.filter(wanted), pages.filter(wanted), manifest, rules)

@@ -1,8 +1,4 @@
-"""Report tables over extracted invoices.
-
-Reports that read the invoices twice (rows and their sum) say so; give them a
-materialised table.
-"""
+"""Report tables over extracted invoices, each in one pass over them."""
 
 from __future__ import annotations
 
@@ -57,20 +53,40 @@ def grand_total(invoices: DataFrame) -> DataFrame:
     return invoices.agg(sum_of_totals(F.col("total"), F.col("total_dec")).alias("grand_total"))
 
 
-def fatture_with_total(invoices: DataFrame) -> DataFrame:
-    """Detail rows (section 0) and the grand-total row (section 1); reads invoices twice."""
-    detail = invoices.select(F.lit(0).alias("sezione"), "path", *export_columns())
-    blank = [F.lit("").alias(c) for c in EXPORT_COLUMNS[1:3]]
-    rest = [F.lit("").alias(c) for c in EXPORT_COLUMNS[4:]]
-    total = grand_total(invoices).select(
-        F.lit(1).alias("sezione"),
-        F.lit("").alias("path"),
-        F.lit(GRAND_TOTAL).alias("File"),
-        *blank,
-        F.col("grand_total").alias("Totale"),
-        *rest,
+def rows_and_total(invoices: DataFrame, *columns: Column) -> DataFrame:
+    """The given columns of every invoice (``is_total`` false), and one row with them null and ``grand_total`` (true).
+
+    Every invoice passes once: as itself, and with its total alone into a sum
+    that is added up before the rows are moved.
+    """
+    row = F.struct(*columns)
+    amounts = [F.col("total").alias("_total"), F.col("total_dec").alias("_total_dec")]
+    no_amounts = [F.lit(None).cast(invoices.schema[c].dataType).alias(f"_{c}") for c in ("total", "total_dec")]
+    rows = invoices.select(row.alias("_row"), *amounts, F.monotonically_increasing_id().alias("_id"))
+    both = rows.select(
+        F.inline(
+            F.array(
+                F.struct(F.lit(False).alias("is_total"), F.col("_id"), F.col("_row"), *no_amounts),
+                F.struct(F.lit(True).alias("is_total"), F.lit(None).cast("bigint").alias("_id"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col("_total"), F.col("_total_dec")),
+            )
+        )
+    )
+    # A batch of nothing has a total, too.
+    nothing = invoices.sparkSession.range(1).select(F.lit(True).alias("is_total"), *[F.lit(None).cast(both.schema[c].dataType).alias(c) for c in both.columns[1:]])
+    found = both.unionByName(nothing).groupBy("is_total", "_id", "_row").agg(sum_of_totals(F.col("_total"), F.col("_total_dec")).alias("grand_total"))
+    return found.select("is_total", "_row.*", "grand_total")
+
+
+def fatture_with_total(invoices: DataFrame, order: str = "path") -> DataFrame:
+    """Detail rows (section 0) with their order column, and the grand-total row (section 1), in one pass."""
+    found = rows_and_total(invoices, F.col(order), *export_columns())
+    shown = {c: F.lit("") for c in EXPORT_COLUMNS} | {"File": F.lit(GRAND_TOTAL), "Totale": F.col("grand_total")}
+    if order == "path":
+        shown["path"] = F.lit("")
+    return found.select(
+        F.col("is_total").cast("int").alias("sezione"),
+        *[F.when(F.col("is_total"), shown[c]).otherwise(F.col(c)).alias(c) if c in shown else F.col(c) for c in (order, *EXPORT_COLUMNS)],
     )
-    return detail.unionByName(total)
 
 
 def summary(invoices: DataFrame) -> DataFrame:

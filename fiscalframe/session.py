@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Java's case mapping suffices to find anchor words; ICU's takes seconds to load.
     "spark.sql.icu.caseMappings.enabled": "false",
+    # Files of tables that were kept for several outputs go when these are done.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fiscalframe.functions.numbers import comma_decimals
 from fiscalframe.functions.text import path_parts
-from fiscalframe.plans.reports import EXPORT_COLUMNS, GRAND_TOTAL, export_columns, grand_total
+from fiscalframe.plans.reports import EXPORT_COLUMNS, GRAND_TOTAL, export_columns, rows_and_total
 
 BYTE_ORDER_MARK = "\ufeff"
 HEADER, DETAIL, GAP, TOTAL = range(4)
@@ -27,7 +27,7 @@ def csv_lines(invoices: DataFrame, delimiter: str = ";", order: str = "path") ->
     """All lines of the export as (section, <order>, line), to be sorted by the first two.
 
     Header with a byte order mark, one line per invoice with a comma decimal
-    total, an empty line and the grand total.  Reads invoices twice.
+    total, an empty line and the grand total.  One pass over the invoices.
     """
     session = invoices.sparkSession
     key = invoices.schema[order].dataType
@@ -39,15 +39,17 @@ def csv_lines(invoices: DataFrame, delimiter: str = ";", order: str = "path") ->
     total_row[EXPORT_COLUMNS.index("Totale")] = comma_decimals(F.col("grand_total"))
     header = csv_line([F.lit(c) for c in EXPORT_COLUMNS], delimiter)
 
-    one = session.range(1)
-    return (
-        one.select(F.lit(HEADER).alias("section"), no_key, F.concat(F.lit(BYTE_ORDER_MARK), header).alias("line"))
-        .unionByName(invoices.select(F.lit(DETAIL).alias("section"), order, csv_line(detail, delimiter).alias("line")))
-        .unionByName(one.select(F.lit(GAP).alias("section"), no_key, F.lit("").alias("line")))
-        .unionByName(
-            grand_total(invoices).select(F.lit(TOTAL).alias("section"), no_key, csv_line(total_row, delimiter).alias("line"))
-        )
+    found = rows_and_total(invoices, F.col(order), csv_line(detail, delimiter).alias("line"))
+    lines = found.select(
+        F.when(F.col("is_total"), TOTAL).otherwise(DETAIL).alias("section"),
+        order,
+        F.when(F.col("is_total"), csv_line(total_row, delimiter)).otherwise(F.col("line")).alias("line"),
     )
+    fixed = F.array(
+        F.struct(F.lit(HEADER).alias("section"), no_key, F.concat(F.lit(BYTE_ORDER_MARK), header).alias("line")),
+        F.struct(F.lit(GAP).alias("section"), no_key, F.lit("").alias("line")),
+    )
+    return lines.unionByName(session.range(1).select(F.inline(fixed)))
 
 
 def write_csv(invoices: DataFrame, path: str, delimiter: str = ";", order: str = "path") -> None:
@@ -55,8 +57,9 @@ def write_csv(invoices: DataFrame, path: str, delimiter: str = ";", order: str =
 
     The parts are cut from one sorted sequence of lines: read in name order they
     are, byte for byte, the single export file.  A small export is one part.
-    No task holds more than its range of lines.
+    No task holds more than its range of lines; lines of one key are put in the
+    order of their text, so that many requests of a path are ranges, too.
     """
     key = path_parts(F.col(order)) if order == "path" else F.col(order)
-    lines = csv_lines(invoices, delimiter, order).orderBy("section", key)
+    lines = csv_lines(invoices, delimiter, order).orderBy("section", key, "line")
     lines.select("line").write.mode("overwrite").text(path, lineSep="\r\n")

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from fiscalframe.operators.materialise import materialise
@@ -26,6 +30,9 @@ def write_outputs(
     ``<base>.parquet`` holds the sheets as ``fatture`` (detail and grand total)
     and ``riepilogo`` (if wanted), ``<base>.csv`` the CSV export.  Existing
     outputs are replaced, missing parent folders made.  Extraction runs once.
+    The sheet holds the column ``seq`` if the invoices have one, else the path,
+    to put its rows back in order.  Raises OSError, with a message for the user,
+    where an output cannot be written.
     """
     fmt = fmt.lower()
     if fmt not in FORMATS:
@@ -37,12 +44,23 @@ def write_outputs(
     written = []
     if fmt in ("parquet", "both"):
         target = f"{base}.parquet"
-        fatture_with_total(kept).write.mode("overwrite").parquet(f"{target}/fatture")
-        if include_summary:
-            now = datetime.now().strftime("%d/%m/%Y %H:%M:%S")
-            riepilogo(kept, target, now).write.mode("overwrite").parquet(f"{target}/riepilogo")
+        with _writing(target):
+            fatture_with_total(kept, order).write.mode("overwrite").parquet(f"{target}/fatture")
+            if include_summary:
+                now = datetime.now().strftime("%d/%m/%Y %H:%M:%S")
+                riepilogo(kept, target, now).write.mode("overwrite").parquet(f"{target}/riepilogo")
         written.append(target)
     if fmt in ("csv", "both"):
-        write_csv(kept, f"{base}.csv", delimiter, order)
+        with _writing(f"{base}.csv"):
+            write_csv(kept, f"{base}.csv", delimiter, order)
         written.append(f"{base}.csv")
     return written
+
+
+@contextmanager
+def _writing(path: str) -> Iterator[None]:
+    """Any failure of Spark to write there, as an OSError.  The first sentence is a fixed value."""
+    try:
+        yield
+    except (PySparkException, Py4JJavaError) as exc:
+        raise OSError(f"Impossibile salvare '{path}'. Verifica lo spazio e i permessi di scrittura.") from exc

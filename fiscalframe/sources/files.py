@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fiscalframe.functions.text import file_name
 
-FILES_SCHEMA = "path string, file_name string, file_size bigint"
-
 
 def is_pdf_name(name: Column) -> Column:
     """True for a file name with the suffix .pdf in any case; ``.pdf`` alone has no suffix."""
@@ -21,29 +19,35 @@ def scan_files(spark: SparkSession, path: str, recursive: bool = False) -> DataF
     """The PDF files at a path as (path, file_name, file_size).
 
     A folder contributes its ``*.pdf`` files (case-sensitive), with ``recursive``
-    those of all its sub-folders; a single file may be named ``.PDF`` too, and
-    is an error if it is no PDF by name.
-    Only metadata is read.  Names starting with "." or "_" are hidden to Spark.
+    those of all its sub-folders, whatever these are called; a single file may
+    be named ``.PDF`` too, and is an error if it is no PDF by name.  Only metadata
+    is read.  Names starting with "." or "_" are hidden to Spark.
+
+    Spark lists a folder on the driver.  Where there are too many files for that,
+    an inventory (a table of the same three columns, as object stores deliver
+    it) takes the place of this scan in everything that follows.
     """
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    # Recursive in any case: else Spark takes sub-folders named k=v for partitions.
+    # A listed file that cannot be read is an error, so one without a row is empty.
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", False)
     name = path.rstrip("/").rsplit("/", 1)[-1]
     own_name = re.sub(r"([\\*?{}\[\],])", r"\\\1", name)
+    root = re.sub(r"\A[a-z0-9]+:(?://[^/]*)?", "", path).rstrip("/")
     found = listing.option("pathGlobFilter", own_name).load(path)
-    single = [unquote(urlsplit(uri).path) for uri in found.inputFiles()] == [re.sub(r"\A[a-z0-9]+:(?://[^/]*)?", "", path)]
+    single = [unquote(urlsplit(uri).path) for uri in found.inputFiles()] == [root]
     if single and not name.lower().endswith(".pdf"):
         raise ValueError(f"Il file non è un PDF: {path}")
     if not single:
         found = listing.option("pathGlobFilter", "*.pdf").load(path)
-    # A binaryFile scan leaves out empty files, though its file index lists
-    # them.  That index already lives on the driver; inventories too large for
-    # it come as a table of the same columns instead.
     listed = spark.createDataFrame([(p,) for p in found.inputFiles()], "uri string")
-    sizes = found.select("path", "length")
     plain = F.regexp_replace(F.url_decode(F.regexp_replace("uri", r"\+", "%2B")), r"\Afile:/+", "/")
-    return (
-        listed.withColumn("path", plain)
-        .join(sizes.withColumn("path", F.regexp_replace("path", r"\Afile:/+", "/")), "path", "left")
-        .select("path", file_name(F.col("path")).alias("file_name"), F.coalesce("length", F.lit(0)).alias("file_size"))
+    listed = listed.select(plain.alias("path"))
+    if not single and not recursive:
+        without_name = F.expr("substr(path, 1, length(path) - length(substring_index(path, '/', -1)) - 1)")
+        listed = listed.filter(F.regexp_replace(without_name, r"\A[a-z0-9]+:(?://[^/]*)?", "") == root)
+    sizes = found.select(F.regexp_replace("path", r"\Afile:/+", "/").alias("path"), "length")
+    return listed.join(sizes, "path", "left").select(
+        "path", file_name(F.col("path")).alias("file_name"), F.coalesce("length", F.lit(0)).alias("file_size")
     )
 
 

@@ -14,7 +14,8 @@ def load_rules(spark: SparkSession, path: str, base: ExtractionRules | None = No
     """Rule set extended by a JSON file ``{"patterns": {field: [regex, ...]}, "date_formats": [...]}``.
 
     A field's value may be a single regex.  Other keys are ignored.  Raises
-    ValueError, with a message for the user, if the file cannot be used.
+    ValueError, with a message for the user, if the file cannot be used; the
+    texts of the messages are fixed values.
     """
     name = path.rstrip("/").rsplit("/", 1)[-1]
     try:

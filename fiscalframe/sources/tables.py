@@ -1,27 +1,17 @@
-"""Reading tables for work that is bound by CPU."""
+"""Reading tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
-def _bytes_per_split(spark: SparkSession) -> int:
-    """The session's split size, which may be written as 128MB or 134217728b."""
-    setting = spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB").strip().lower().removesuffix("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    return int(setting[:-1]) * units[setting[-1]] if setting[-1:] in units else int(setting)
+def read_table(spark: SparkSession, path: str, *columns: str, partitions: int | None = None) -> DataFrame:
+    """Columns of a Parquet table, all if none is named.
 
-
-def read_spread(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """Columns of a Parquet table, all if none is named, in enough partitions to keep every core busy.
-
-    A table too small to give every core a split, which may well be a single row
-    group, is spread over the cores; a larger one is read as it lies, without a
-    shuffle.
+    ``partitions`` spreads the rows by a shuffle before work that is bound by
+    CPU; it is for tables of few row groups, where splits are fewer than cores.
     """
     table = spark.read.parquet(path)
     if columns:
         table = table.select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
-    return table.repartition(cores) if size < cores * _bytes_per_split(spark) else table
+    return table.repartition(partitions) if partitions else table

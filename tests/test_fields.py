@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+from hashlib import sha256
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from fiscalframe import ExtractionRules, extract_fields
 from fiscalframe.functions.dialect import to_java
 from fiscalframe.functions.text import clean_capture
 from fiscalframe.operators.fields import first_captures
-from fiscalframe.operators.rules import FIELDS, PATTERNS
+from fiscalframe.operators.rules import DATE_FORMATS, FIELDS, PATTERNS, RUN_FORMS
 
 PIECES = [
     "fattura", "FATTURA N.", "Ricevuta", "nota di credito", "documento", "ddt", "numero", "n.", "protocollo:", "Data:", "data",
@@ -52,6 +54,11 @@ def random_texts(n, seed):
     ]
 
 
+def test_published_rules_are_as_they_were():
+    """Everything else here compares with PATTERNS itself; this tells if one is lost or mistyped."""
+    assert sha256(repr((PATTERNS, DATE_FORMATS)).encode()).hexdigest() == "1e1195d02e7619d30c7edf6504fb681df36263a051fe1357402bec92e4ed7fcc"
+
+
 def test_chains_equal_brute_force(spark):
     texts = random_texts(6000, 7)
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(8)
@@ -149,13 +156,48 @@ def test_bad_rules_are_rejected(pattern):
         ExtractionRules().merge({"total": [pattern]})
 
 
-def test_filters_do_not_repeat_the_extraction(spark):
-    rows = spark.createDataFrame([("Totale 5,00",)], "text string")
-    plan = extract_fields(rows).filter("total > 0 and invoice_number is null")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("protocollo[.:]?") == 1
+def test_filters_reach_the_scan_and_do_not_repeat_the_extraction(spark, tmp_path):
+    spark.createDataFrame([("Totale 5,00", "it"), ("Totale 6,00", "en")], "text string, lang string").write.parquet(str(tmp_path / "t"))
+    found = extract_fields(spark.read.parquet(str(tmp_path / "t"))).filter("lang = 'it' and total > 0 and invoice_number is null")
+    assert found.count() == 1
+    plan = found._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("protocollo[.:]?") == 1
+    assert "EqualTo(lang,it)" in plan.executedPlan().toString()
 
 
-def test_unused_fields_are_not_extracted(spark):
+def test_only_wanted_fields_are_extracted(spark):
     rows = spark.createDataFrame([("Totale 5,00",)], "text string")
-    plan = extract_fields(rows).select("total")._jdf.queryExecution().optimizedPlan().toString()
+    found = extract_fields(rows, fields=("total",))
+    assert found.columns == ["text", "total", "total_dec"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "totale" in plan and "fornitore" not in plan and "protocollo" not in plan
+
+
+def test_wide_gaps_cost_little(spark):
+    """Every anchor of every field before thousands of spaces and nothing that fits."""
+    anchors = [piece for piece in PIECES if piece.strip() and piece.isascii()] + ["nota", "nota di", "importo totale", "totale da", "p.", "cod.", "ragione", "spett", "12", "01234567890"]
+    texts = [f"{a}{' ' * 5000}x" for a in anchors] + [f"{a}{' ' * 2500}:{' ' * 2500}(x" for a in anchors]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    first_captures(rows.limit(1), "text", ExtractionRules()).collect()
+    start = time.perf_counter()
+    first_captures(rows, "text", ExtractionRules()).collect()
+    assert time.perf_counter() - start < 20  # all of them; one alone took hours
+
+
+def test_run_forms_equal_the_published_rules():
+    """With Python's own engine, which knows possessive runs too, on texts with wide gaps."""
+    rng = random.Random(13)
+    for field in FIELDS:
+        for pattern, form in zip(PATTERNS[field], RUN_FORMS[field], strict=True):
+            slow, fast = (re.compile(p, re.I | re.M | re.S) for p in (pattern, form))
+            for text in random_texts(4000, rng.random()):
+                text = re.sub(" ", lambda _: " " * rng.choice([1, 1, 1, 2, 9]), text)
+                a, b = slow.search(text), fast.search(text)
+                assert brute_clean(a.group(1) or "" if a else "") == brute_clean(b.group(1) or "" if b else ""), (pattern, text)
+
+
+def test_options(spark):
+    rows = spark.createDataFrame([("Totale 1250,00, emessa il 15 marzo 2024",), ("Totale 1.250,00 del 3/4/2024, poi 15 marzo 2024",)], "text string")
+    plain = [(r.total, r.date) for r in extract_fields(rows).collect()]
+    asked = [(r.total, r.date) for r in extract_fields(rows, rules=ExtractionRules().with_options(True, True)).collect()]
+    assert plain == [(125.0, "15"), (1250.0, "2024-04-03")] and asked == [(1250.0, "2024-03-15"), (1250.0, "2024-04-03")]

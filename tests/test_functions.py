@@ -21,13 +21,12 @@ NUMBERS = {
     "(450,00": None, "450,00)": None, "(-5)": -5.0, "--5": 5.0, "−7,5": -7.5, "()": None, "(": None,
     "1e5": 1e5, "1_000": 1000.0, "1__0": None, "1d": None, "0x1p3": None, "inf": math.inf, "-Infinity": -math.inf,
     "\t 12,5 \n": 12.5, "1 234,5": 1234.5, "- 7": -7.0, "1\t2": None, "١٢,٥": 12.5, "5.": 5.0, ".5": 0.5,
-    "€\t 5": 5.0, "(€ 5,00 )": -5.0, "+-5": -5.0, "1" * 400: None,
+    "€\t 5": 5.0, "(€ 5,00 )": -5.0, "+-5": -5.0, "1" * 400: math.inf,
 }
 
 
 def test_numbers(spark):
     got = dict(zip(NUMBERS, values(spark, numbers.parse_italian_number, list(NUMBERS))))
-    got["1" * 400] = None  # beyond the range of a double in either engine
     assert got == NUMBERS
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import samples
 from fiscalframe import (
     ExtractionRules,
+    extract_documents,
     extract_invoice,
     extract_invoices,
     fatture,
@@ -18,7 +19,7 @@ from fiscalframe import (
     write_outputs,
 )
 from fiscalframe.operators.numbering import number_rows
-from fiscalframe.operators.requests import SALTS, per_request
+from fiscalframe.operators.requests import per_request
 from fiscalframe.operators.rules import merge_rule_tables, rules_from_table
 from fiscalframe.plans import reports
 from fiscalframe.sources.files import accept_uploads, skipped_files
@@ -51,19 +52,19 @@ def test_readable_documents(batch):
     got = by_path(batch)
     a = got["/in/a.pdf"]
     assert (a.filename, a.invoice_number, a.date, a.total, a.supplier_name, a.vat_number) == (
-        "a.pdf", "INV-2024-001", "2024-03-15", 1250.0, "Beta S.r.l", "01234567890",
+        "a.pdf", "A/118", "2023-11-09", 2440.9, "Officine Carsulae S.p.A", "04417823905",
     )
     assert a.is_ok and a.status_it == "OK" and a.document_type_it == "Fattura" and a.errors == [] == a.missing_fields
-    assert str(a.date_parsed) == "2024-03-15" and str(a.total_dec) == "1250.00"
+    assert str(a.date_parsed) == "2023-11-09" and str(a.total_dec) == "2440.90"
     b = got["/in/b.pdf"]
     assert b.total == 0.0 and b.is_ok and not b.is_credit_note and b.document_type_it == "Fattura"
     c = got["/in/c.pdf"]
-    assert c.total == -450.0 and c.is_credit_note and c.document_type_it == "Nota di credito" and not c.has_hard_error
+    assert c.total == -87.35 and c.is_credit_note and c.document_type_it == "Nota di credito" and not c.has_hard_error
     d = got["/in/d.pdf"]
     assert d.vat_number is None and d.missing_fields == ["vat_number"] and d.status_it == "Incompleto" and not d.is_ok
-    assert d.notes_it == "Campi non trovati: partita IVA" and d.errors == [] and d.total == 320.5
+    assert d.notes_it == "Campi non trovati: partita IVA" and d.errors == [] and d.total == 76.4
     e = got["/in/e.pdf"]
-    assert e.is_ok and e.total == 2440.0 and e.invoice_number == "INV-2024-777"
+    assert e.is_ok and e.total == 15600.25 and e.invoice_number == "K-9001"
 
 
 def test_unreadable_documents(batch):
@@ -97,7 +98,7 @@ def test_failed_pages_are_skipped_and_pages_ordered(spark):
 def test_pages_without_path_belong_to_no_document(spark):
     files, pages = samples.tables(spark, {"/x.pdf": samples.STANDARD})
     stray = spark.createDataFrame([(None, 0, "Totale 1,00")] * 50, "path string, page_no int, page_text string")
-    assert [(r.path, r.total) for r in extract_invoices(files, pages.unionByName(stray)).collect()] == [("/x.pdf", 1250.0)]
+    assert [(r.path, r.total) for r in extract_invoices(files, pages.unionByName(stray)).collect()] == [("/x.pdf", 2440.9)]
 
 
 def test_single_document(spark, tmp_path):
@@ -105,25 +106,25 @@ def test_single_document(spark, tmp_path):
     pages.write.parquet(str(tmp_path / "pages"))
     stored = spark.read.parquet(str(tmp_path / "pages"))
     one = extract_invoice(files, stored, "/b.pdf")
-    assert [(r.path, r.invoice_number) for r in one.collect()] == [("/b.pdf", "INV-2024-002")]
+    assert [(r.path, r.invoice_number) for r in one.collect()] == [("/b.pdf", "OM-7")]
     assert "EqualTo(path,/b.pdf)" in one._jdf.queryExecution().executedPlan().toString()
     assert extract_invoice(files, stored, "/c.pdf").first().error_kind == "missing"
 
 
 def test_batch_reports(batch):
-    assert grand_total(batch).first()[0] == 1250.0 - 450.0 + 320.5 + 2440.0
+    assert grand_total(batch).first()[0] == 2440.9 - 87.35 + 76.4 + 15600.25 - 0.0
     lines = {r.voce: r.valore for r in riepilogo(batch, "/out", "01/01/2024 10:00:00").orderBy("ordine").collect()}
     assert lines == {
         "PDF elaborati": "10", "Estratti correttamente": "4", "Estratti parzialmente": "1", "Non leggibili": "5",
-        "Note di credito": "1", "": "", "Totale complessivo (€)": "3560.50", "File esportato in": "/out",
+        "Note di credito": "1", "": "", "Totale complessivo (€)": "18030.20", "File esportato in": "/out",
         "Data esportazione": "01/01/2024 10:00:00",
     }
     console = {r.voce: r.valore for r in reports.console_summary(batch, ("a.csv",)).collect()}
-    assert console["Totale complessivo"] == "€ 3,560.50" and console["File esportato"] == "a.csv"
+    assert console["Totale complessivo"] == "€ 18,030.20" and console["File esportato"] == "a.csv"
     assert {r.File for r in problem_files(batch).collect()} == {f"{n}.pdf" for n in "dfghij"}
     assert fatture(batch).columns == COLUMNS
     pairs = {(r.path, r.Campo): r.Valore for r in reports.invoice_unpivot(batch).collect()}
-    assert pairs["/in/a.pdf", "Totale"] == "1250.0" and pairs["/in/g.pdf", "Totale"] == "" and len(pairs) == 70
+    assert pairs["/in/a.pdf", "Totale"] == "2440.9" and pairs["/in/g.pdf", "Totale"] == "" and len(pairs) == 70
 
 
 def test_reports_of_nothing(spark):
@@ -146,9 +147,9 @@ def test_csv_bytes(spark, tmp_path):
     expected = (
         "\ufeffFile;Numero Fattura;Data;Totale;Fornitore;Partita IVA;Tipo Documento;Esito;Note\r\n"
         'y.pdf;12;;-1000,50;"Ditta ""Uno; Due""";;Nota di credito;Incompleto;Campi non trovati: data, partita IVA\r\n'
-        "x.pdf;INV-2024-001;2024-03-15;1250,00;Beta S.r.l;01234567890;Fattura;OK;\r\n"
+        "x.pdf;A/118;2023-11-09;2440,90;Officine Carsulae S.p.A;04417823905;Fattura;OK;\r\n"
         "\r\n"
-        "TOTALE COMPLESSIVO;;;249,50;;;;;\r\n"
+        "TOTALE COMPLESSIVO;;;1440,40;;;;;\r\n"
     )
     assert csv_bytes(tmp_path / "new" / "out.csv").decode() == expected
 
@@ -173,7 +174,7 @@ def test_write_outputs(spark, batch, tmp_path):
     for _ in range(2):
         assert write_outputs(batch, target, "BOTH") == [target[:-5] + ".parquet", target[:-5] + ".csv"]
     detail = spark.read.parquet(target[:-5] + ".parquet/fatture")
-    assert detail.count() == 11 and detail.filter("sezione = 1").first().Totale == 3560.5
+    assert detail.count() == 11 and detail.filter("sezione = 1").first().Totale == 18030.2
     assert spark.read.parquet(target[:-5] + ".parquet/riepilogo").count() == 10
     assert csv_bytes(tmp_path / "deep" / "fatture.csv").count(b"\r\n") == 13
     write_outputs(batch, str(tmp_path / "b.x"), "parquet", include_summary=False)
@@ -182,26 +183,67 @@ def test_write_outputs(spark, batch, tmp_path):
         write_outputs(batch, target, "pdf")
 
 
+def test_outputs_that_cannot_be_written(batch, tmp_path):
+    (tmp_path / "file").write_text("x")
+    for fmt in ("parquet", "csv"):
+        with pytest.raises(OSError, match="Impossibile salvare"):
+            write_outputs(batch, str(tmp_path / "file" / "o.x"), fmt)
+
+
 def test_output_keeps_the_request_order(spark, tmp_path):
     files, pages = samples.tables(spark, {"/a.pdf": samples.STANDARD, "/b.pdf": samples.ZERO})
     manifest = spark.createDataFrame([("/b.pdf", 1), ("/a.pdf", 2), ("/b.pdf", 3)], "path string, seq int")
-    write_outputs(extract_invoices(files, pages, manifest), str(tmp_path / "o"), "csv")
+    write_outputs(extract_invoices(files, pages, manifest), str(tmp_path / "o"), "both")
+    sheet = spark.read.parquet(str(tmp_path / "o.parquet" / "fatture")).orderBy("sezione", "seq").collect()
+    assert [(r.seq, r.File) for r in sheet] == [(1, "b.pdf"), (2, "a.pdf"), (3, "b.pdf"), (None, "TOTALE COMPLESSIVO")]
     lines = csv_bytes(tmp_path / "o.csv").decode().split("\r\n")
     assert [line.split(";")[0] for line in lines[1:4]] == ["b.pdf", "a.pdf", "b.pdf"]
 
 
 def test_hot_paths_are_spread(spark):
-    """A path holding most requests is joined under many keys, and nothing is lost."""
-    wide = spark.range(9000).select(
-        F.when(F.col("id") < 6000, "/hot.pdf").otherwise(F.concat(F.lit("/"), F.col("id") % 500)).alias("path"),
-        F.col("id").alias("seq"),
-    )
-    results = wide.select("path").distinct().withColumn("v", F.length("path"))
-    joined = per_request(wide, results, "seq")
-    assert "explode" in joined._jdf.queryExecution().optimizedPlan().toString()
-    rows = joined.collect()
-    assert sorted(r.seq for r in rows) == list(range(9000)) and all(r.v == len(r.path) for r in rows)
-    assert joined.columns == ["path", "seq", "v"] and SALTS > 1
+    """Paths, and missing ones, that hold most requests are split over tasks, with or without an order column; nothing is lost."""
+    path = F.when(F.col("id") < 40_000, "/hot.pdf").when(F.col("id") < 80_000, F.lit(None)).otherwise(F.concat(F.lit("/"), F.col("id") % 500))
+    wide = spark.range(90_000).repartition(8).select(path.alias("path"), F.lit(None).cast("long").alias("seq"))
+    results = wide.select("path").distinct().withColumn("v", F.coalesce(F.length("path"), F.lit(0)))
+    low = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256b",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256b",
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "0",
+    }
+    before = {k: spark.conf.get(k, None) for k in low}
+    for k, v in low.items():
+        spark.conf.set(k, v)
+    try:
+        joined = per_request(wide, results, "seq")
+        rows = joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(rows) == 90_000 and all(r.v == len(r.path or "") for r in rows)
+    assert joined.columns == ["path", "seq", "v"]
+
+
+def test_odd_keys(spark):
+    """No path, repeated requests and repeated file rows."""
+    files, pages = samples.tables(spark, {"/a.pdf": samples.STANDARD, "/b.pdf": samples.ZERO})
+    manifest = spark.createDataFrame([("/a.pdf",), (None,), ("/a.pdf",), (None,), ("/c.pdf",)], "path string")
+    got = extract_invoices(files.unionByName(files), pages, manifest)
+    assert sorted((r.path or "", r.status_it, r.error_kind or "") for r in got.collect()) == [
+        ("", "Errore", "missing"), ("", "Errore", "missing"), ("/a.pdf", "OK", ""), ("/a.pdf", "OK", ""), ("/c.pdf", "Errore", "missing"),
+    ]
+    counts = reports.summary(got).first()
+    assert counts.processed == counts.ok + counts.incomplete + counts.failed == 5
+    assert extract_invoices(files.unionByName(files), pages).count() == 2
+
+
+def test_documents_that_are_whole(spark):
+    rows = [("/a", "a", "Fattura n. 5\nTotale 3,00", None, None), ("/b", "b", None, "missing", "File PDF non trovato: /b"), (None, None, None, "corrupt", None)]
+    schema = "path string, filename string, text string, error_kind string, error string"
+    got = by_path(extract_documents(spark.createDataFrame(rows, schema)))
+    assert (got["/a"].invoice_number, got["/a"].total, got["/a"].status_it) == ("5", 3.0, "Incompleto")
+    assert got["/b"].errors == ["File PDF non trovato: /b"] and got["/b"].missing_fields == []
+    assert got[None].has_hard_error and got[None].errors == ["corrupt"]
 
 
 def test_numbers_across_partitions(spark):
@@ -212,6 +254,10 @@ def test_numbers_across_partitions(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert [r.n for r in got] == list(range(1, 5001)) and {r["all"] for r in got} == {5000}
+    many = spark.range(3000).select(F.when(F.col("id") < 2500, "same").otherwise("z").alias("k"), (F.col("id") % 100).alias("v"))
+    numbered = number_rows(many, F.col("k"), buckets=16).collect()
+    assert sorted(r.n for r in numbered) == list(range(1, 3001)) and max(r.n for r in numbered if r.k == "same") == 2500
+    assert number_rows(many.limit(0), F.col("k")).count() == 0
 
 
 def test_file_listing_order_and_sizes(spark):
@@ -223,7 +269,7 @@ def test_file_listing_order_and_sizes(spark):
 
 
 def test_scan_files(spark, tmp_path):
-    names = ["b.pdf", "a b+c%20.pdf", "vuoto.pdf", "B.PDF", "x.txt", "sub/d.pdf", "sub/deep/e.pdf"]
+    names = ["b.pdf", "a b+c%20.pdf", "vuoto.pdf", "B.PDF", "x.txt", "sub/d.pdf", "sub/deep/e.pdf", "anno=2024/n.pdf", "anno=2024/m=1/o.pdf"]
     for name in names:
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(b"" if name == "vuoto.pdf" else b"12345")
@@ -231,7 +277,8 @@ def test_scan_files(spark, tmp_path):
     assert {n: r.file_size for n, r in flat.items()} == {"b.pdf": 5, "a b+c%20.pdf": 5, "vuoto.pdf": 0}
     assert flat["b.pdf"].path == str(tmp_path / "b.pdf")
     deep = {r.file_name for r in scan_files(spark, str(tmp_path), recursive=True).collect()}
-    assert deep == {"b.pdf", "a b+c%20.pdf", "vuoto.pdf", "d.pdf", "e.pdf"}
+    assert deep == {"b.pdf", "a b+c%20.pdf", "vuoto.pdf", "d.pdf", "e.pdf", "n.pdf", "o.pdf"}
+    assert {r.file_size for r in scan_files(spark, str(tmp_path), recursive=True).collect() if r.file_name != "vuoto.pdf"} == {5}
     single = scan_files(spark, str(tmp_path / "B.PDF")).collect()
     assert [(r.file_name, r.file_size) for r in single] == [("B.PDF", 5)]
     with pytest.raises(ValueError, match="non è un PDF"):
@@ -284,6 +331,11 @@ def test_rule_files(spark, tmp_path):
         load_rules(spark, str(tmp_path / "none.json"))
 
 
+def test_any_number_of_rules_loads(spark):
+    table = spark.range(1500).select(F.lit("total").alias("field"), F.lit(0).alias("source"), F.col("id").alias("priority"), F.format_string("(a%d)", "id").alias("pattern"))
+    assert len(rules_from_table(table).patterns["total"]) == 1500
+
+
 def test_rule_tables_merge_like_rule_sets(spark):
     given = {"total": ["(a)", "(b)", "(a)", ExtractionRules().patterns["total"][2]], "altro": ["(x)"]}
     rows = [(f, i, p) for f, ps in given.items() for i, p in enumerate(ps)]
