@@ -150,8 +150,7 @@ def q_field(field: str, column: str) -> Query:
 
 
 # Per field and rule a text in which that rule, and none before it, yields the value; {} is made of the order.
-# Left out are rules that cannot win: what the third total rule finds, the first one finds; the last two total
-# rules want what the first takes part of; and rule 4 of the supplier needs a text without the words of the others.
+# Two total rules cannot win: whatever the third or the sixth finds, the first one finds at least a part of.
 RULE_TEXTS = {
     "invoice_number": (
         ("1", "Ricevuta n. R/{} pagata"),
