@@ -185,6 +185,8 @@ def mix(
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs that the mix takes, with size, source_size, target, copies and taken beside their columns.
 
+    Where docs has a column of such a name, the mix's own is called mix_<name>.
+
     Texts take no part in the mixing: rows find their decision by id, source,
     hash of the text and number among rows alike in all three.
     """
@@ -196,5 +198,5 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.withColumn(alike, F.xxhash64(text_col)).withColumn(number, F.row_number().over(one)).alias("rows")
     decided = decided.filter("copies > 0").alias("decided")
     same = [F.col(f"rows.{c}").eqNullSafe(F.col(f"decided.{c}")) for c in (id_col, source_col, alike, number)]
-    taken = [F.col(f"decided.{c}") for c in ("size", "source_size", "target", "copies", "taken")]
+    taken = [F.col(f"decided.{c}").alias(f"mix_{c}" if c in docs.columns else c) for c in ("size", "source_size", "target", "copies", "taken")]
     return rows.join(decided, same).select(*[F.col(f"rows.`{c}`") for c in docs.columns], *taken)

@@ -306,8 +306,8 @@ def test_mixing_odd(frame):
     assert all(r.copies == 1 for r in mixing.mix(docs).collect())
     assert mixing.mixed_rows(docs).count() == len(ODD)
     assert mixing.mix(docs.limit(0)).count() == 0
-    taken = mixing.mixed_rows(frame([(1, "a", "s"), (1, "a", "s"), (2, "b c", "t")], "doc_id long, text string, source string").withColumn("alike", F.lit(9)))
-    assert set(taken.columns) >= {"alike", "copies"} and taken.agg(F.sum("taken")).first()[0] in (3, 4, 5)
+    taken = mixing.mixed_rows(frame([(1, "a", "s"), (1, "a", "s"), (2, "b c", "t")], "doc_id long, text string, source string").withColumn("alike", F.lit(9)).withColumn("size", F.lit("x")))
+    assert set(taken.columns) >= {"alike", "copies", "size", "mix_size"} and taken.agg(F.sum("taken")).first()[0] in (3, 4, 5)
 
 
 def test_flight_keeps_both_totals():
