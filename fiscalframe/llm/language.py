@@ -84,12 +84,12 @@ def train(x: np.ndarray, names: list[str], steps: int = 150) -> Model:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model | None:
     """A model of the languages in the labelled rows of docs, None if there are none."""
     rows = docs.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    classes = counts.count()
-    if not classes:
+    # The model holds every language anyway, so their counts may come to the driver.
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
         return None
-    share = F.lit(sample / classes) / F.col("n")
-    chosen = rows.join(counts, "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, sample / len(counts) / n)])
+    chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.element_at(shares, F.col("lang")) * (1 << 30)).select("lang", "text")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
