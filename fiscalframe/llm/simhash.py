@@ -63,21 +63,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _variants(members: DataFrame, level: int) -> DataFrame:
-    """(key, fp, free): a row per half of the free bits and wildcard; free tells which bits the key leaves.
+    """(key, fp, free): a row for each half of the free bits and each wildcard in it.
 
-    free is the first free bit; level 0 starts from 64 free bits, each level halves them.
+    free is the first of the bits that the key leaves free: all 64 before level
+    0, and half as many after each level.  Keys hold those of the levels before.
     """
     width = 32 >> level
-    k = F.explode(F.sequence(F.lit(0), F.lit(2 * width - 1))).alias("k")
-    rows = members.select("*", k)
-    upper = F.expr(f"k div {width}").cast("int")
-    mask = (1 << width) - 1
-    half = F.expr(f"shiftrightunsigned(fp, cast(free + (k div {width}) * {width} as int)) & {mask}L")
+    rows = members.select("*", F.explode(F.sequence(F.lit(0), F.lit(2 * width - 1))).alias("k"))
+    upper = F.expr(f"cast(k div {width} as int)")
+    half = F.expr(f"shiftrightunsigned(fp, cast(free + (k div {width}) * {width} as int)) & {(1 << width) - 1}L")
     masked = half.bitwiseAND(F.expr(f"~shiftleft(1L, k % {width})"))
-    key = F.struct(*[F.col(f"key.{c}") for c in members.schema["key"].dataType.names], F.col("k").alias(f"k{level}"), masked.alias(f"v{level}")) if level else F.struct(
-        F.col("k").alias("k0"), masked.alias("v0")
-    )
-    # The other half stays free.
+    before = [F.col(f"key.{c}") for c in members.schema["key"].dataType.names] if level else []
+    key = F.struct(*before, F.col("k").alias(f"k{level}"), masked.alias(f"v{level}"))
+    # The half that the key is not made of stays free.
     return rows.select(key.alias("key"), "fp", (F.col("free") + (1 - upper) * width).alias("free"))
 
 

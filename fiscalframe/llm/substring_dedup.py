@@ -150,7 +150,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     starts = parsed.open_windows(alone) if parsed.windows else np.zeros(0, np.int64)
                     one, two = parsed.window_hashes(starts)
                     # Of windows that repeat within the document the first one stands for it.
-                    _, first = np.unique(np.stack([one, two]), axis=1, return_index=True) if len(starts) else (None, np.zeros(0, np.int64))
+                    first = np.unique(np.stack([one, two]), axis=1, return_index=True)[1] if len(starts) else starts
                     found.append((one[first], two[first], starts[first]))
                 yield _rows(part, found, ["one", "two", "start"])
 
@@ -163,9 +163,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                found = [_parse(*row) for row in zip(part.column("text").to_pylist(), part.column("is_first").to_pylist(), _lists(part.column("unique")), _lists(part.column("earliest")), strict=True)]
-                columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *columns], names=["id", "n_words", "n_removed", "kept_text", "kept_sha256", "factors"])
+                texts, are_first = part.column("text").to_pylist(), part.column("is_first").to_pylist()
+                lists = _lists(part.column("unique")), _lists(part.column("earliest"))
+                found = [_parse(*row) for row in zip(texts, are_first, *lists, strict=True)]
+                kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.string(), "kept_sha256": pa.string(), "factors": pa.string()}
+                columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds.values())]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *columns], names=["id", *kinds])
 
     out = told.mapInArrow(parsed, f"id {id_type}, n_words long, n_removed long, kept_text string, kept_sha256 string, factors string")
     return out.withColumnRenamed("id", id_col)
