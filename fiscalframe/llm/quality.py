@@ -118,7 +118,7 @@ def train(x: np.ndarray, label: np.ndarray) -> Model:
     if len(bad):
         prior = float(np.clip((label[marked] == 1).mean(), 0.01, 0.99))
         # The marked texts, mixed as they come, join the unlabelled ones without their marks.
-        unlabelled = np.concatenate([x[label == -1], x[marked]])
+        unlabelled = x
     else:
         apart = non_negative_risk(positive, unlabelled, 0.5, 100)
         prior = estimated_prior(positive @ apart, unlabelled @ apart)
@@ -142,13 +142,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [vector(t).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
+            x = [vector(t).astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.binary())], names=["label", "x"])
 
     rows = texts.join(chosen, "id").select("label", "text").mapInArrow(featured, "label int, x binary")
     found = rows.toArrow().sort_by([("label", "ascending"), ("x", "ascending")])
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(-1, BUCKETS + MEASURES + 1)
-    return train(x, found.column("label").to_numpy())
+    label, packed = found.column("label").to_numpy(), b"".join(x.as_buffer() for x in found.column("x"))
+    del found
+    return train(np.frombuffer(packed, np.float16).reshape(len(label), BUCKETS + MEASURES + 1).astype(np.float32), label)
 
 
 def _scored(rows: DataFrame, model: Model) -> DataFrame:
