@@ -34,17 +34,24 @@ SEED = 42
 BUCKET = 512  # fingerprints compared pair by pair
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """64 bits, each set if it is in more than half of the shingles' hashes."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """A hash of each shingle, in order."""
     words = text.encode().lower().split() if text else []  # bytes: A-Z only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = list(accumulate(map(len, words), lambda at, n: at + 1 + n))
     starts = [0, *[e + 1 for e in ends]]
     size = min(size, len(words))
-    hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])]  # noqa: B905
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8), bitorder="little").reshape(-1, 64)
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])], np.uint64)  # noqa: B905
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """64 bits, each set if it is in more than half of the shingles' hashes."""
+    hashes = shingle_hashes(text, size)
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64)
     most = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
     return int(np.packbits(most, bitorder="little").view(np.uint64)[0])
 
