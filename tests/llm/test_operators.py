@@ -252,6 +252,27 @@ def test_recall_of_the_latent_space(spark, frame, leaks):
     assert near.sum() > 50 and (latent[near] >= decontamination.COSINE).mean() >= 0.9
 
 
+def test_short_items_in_long_foreign_text(frame, monkeypatch):
+    """Items of 3 to 10 words, whole or without a word: all are found, and as if every passage were scored."""
+    random, docs, expected = Random(8), [], set()
+    items = [(i, " ".join(f"s{i}k{k}" if k % 2 else f"w{random.randrange(40)}" for k in range(3 + i % 8))) for i in range(48)]
+    for d in range(240):
+        words = [f"f{random.randrange(10**6)}" if k % 9 else f"w{random.randrange(40)}" for k in range(random.choice([40, 150, 400]))]
+        if d % 2:
+            i = d // 2 % 48
+            leak = items[i][1].split()
+            del leak[len(leak) // 2 : len(leak) // 2 + (d % 3 == 0 and len(leak) > 5)]
+            at = random.randrange(len(words))
+            words[at:at] = leak
+            expected.add((d, i))
+        docs.append((d, " ".join(words)))
+    benchmark = frame(items, "item_id long, text string")
+    found = {(r.id, r["item"]) for r in decontamination.find(frame(docs), benchmark).collect()}
+    monkeypatch.setattr(decontamination, "_held", lambda lists, *_: __import__("numpy").ones(len(lists), bool))
+    every = {(r.id, r["item"]) for r in decontamination.find(frame(docs), benchmark).collect()}
+    assert expected <= found and expected <= every
+
+
 def test_decontamination_without_rows(frame):
     benchmark = frame([(1, "a b c")], "item_id long, text string")
     assert decontamination.find(frame([]), benchmark).count() == 0
