@@ -10,7 +10,9 @@ keyed BLAKE2b as its round function.
 Kinds, in order of precedence: email, iban (mod 97), ipv4 (octets up to 255),
 card (13 to 19 digits, Luhn), date (a day of the years 1900 to 2099), ssn (US areas
 and groups that exist), phone (international or North American, 7 to 15 digits).  Check digits are made anew, dates are moved to
-another day, separators, letter case and lengths stay.  What fails validation is left as it is.
+another day, separators, letter case and lengths stay.  What fails validation is left as it is, but of
+an iban or card that fails, shorter ends and later starts at its separators are tried, the longest first, so a
+value is found beside other numbers and words.
 
 Defined cases: a null text stays null, an empty one empty; texts without a
 value stay as they are, byte for byte; values found by two kinds go to the first
@@ -42,6 +44,8 @@ _PATTERNS = {
     "phone": re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])", re.A),
 }
 _DIGIT = re.compile(r"\d", re.A)
+# Kinds whose patterns take in what stands beside a value, and the separators between their groups.
+_SEPARATORS = {"iban": " ", "card": " -"}
 
 
 def luhn_digit(digits: str) -> int:
@@ -197,6 +201,20 @@ class Pseudonyms:
 
     # --- texts ---
 
+    def _within(self, kind: str, text: str, taken: list[tuple[int, int, str, str]]) -> Iterator[tuple[int, int, str, str]]:
+        """The values of a kind, from the left and the longest first, also inside of matches that are none."""
+        pattern, at = _PATTERNS[kind], 0
+        while m := pattern.search(text, at):
+            start, at = m.start(), m.start() + 1
+            limit = min((max(s, start) for s, e, *_ in taken if s < m.end() and start < e), default=m.end())
+            ends = [e for e in range(m.end(), start, -1) if e <= limit and (e == m.end() or text[e] in _SEPARATORS[kind])]
+            for end in ends:
+                value = self.swap(kind, text[start:end]) if end == m.end() or pattern.fullmatch(text, start, end) else None
+                if value is not None:
+                    yield start, end, kind, value
+                    at = end
+                    break
+
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym), ordered, without overlaps."""
         taken: list[tuple[int, int, str, str]] = []
@@ -204,6 +222,9 @@ class Pseudonyms:
         for kind in KINDS:
             if "@" not in text if kind == "email" else not digits:
                 continue
+            if kind in _SEPARATORS:
+                taken += list(self._within(kind, text, taken))
+                continue
             new = []
             for m in _PATTERNS[kind].finditer(text):
                 if any(s < m.end() and m.start() < e for s, e, *_ in taken):
@@ -214,8 +235,19 @@ class Pseudonyms:
             taken += new
         return sorted(taken)
 
-    def replace(self, text: str) -> tuple[str, list[tuple[int, int, str, str]]]:
-        spans = self.spans(text)
+    def given_spans(self, text: str, told: str | None) -> list[tuple[int, int, str, str]]:
+        """The same for the pseudonyms of values that stood at the spans told (kind:start:end, comma-joined)."""
+        out, shift = [], 0
+        for kind, start, end in (x.split(":") for x in (told or "").split(",") if x):
+            a, b = int(start) + shift, int(end) + shift
+            if kind == "ipv4":  # the one kind whose pseudonyms can be longer or shorter
+                b = _PATTERNS[kind].match(text, a).end()
+            shift = b - int(end)
+            out.append((a, b, kind, self.swap(kind, text[a:b])))
+        return out
+
+    def replace(self, text: str, spans: list[tuple[int, int, str, str]] | None = None) -> tuple[str, list[tuple[int, int, str, str]]]:
+        spans = self.spans(text) if spans is None else spans
         parts, at = [], 0
         for start, end, _, value in spans:
             parts += [text[at:start], value]
@@ -223,18 +255,22 @@ class Pseudonyms:
         return "".join([*parts, text[at:]]), spans
 
 
-def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", inverse: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", inverse: bool = False, spans_col: str | None = None) -> DataFrame:
     """id_col, text_col with pseudonyms, spans (kind:start:end in the given text, comma-joined), n_<kind> for every kind.
 
-    The way back (inverse) finds a pseudonym where it was put, since it is valid in the same format.
+    The way back (inverse) finds a pseudonym where it was put, since it is valid in the same format.  Only beside a
+    number or word that makes a longer valid value with it can it take that one; with the spans of the way there in
+    spans_col it never does.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    columns = [F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(spans_col) if spans_col else F.lit(None)).cast("string").alias("told")]
+    rows = docs.select(*columns)
     counts = ", ".join(f"n_{k} long" for k in KINDS)
 
     def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pseudonyms = Pseudonyms(key, inverse)
         for batch in batches:
-            done = [(None, []) if t is None else pseudonyms.replace(t) for t in batch.column("text").to_pylist()]
+            told = zip(batch.column("text").to_pylist(), batch.column("told").to_pylist(), strict=True)
+            done = [(None, []) if t is None else pseudonyms.replace(t, pseudonyms.given_spans(t, s) if spans_col else None) for t, s in told]
             kinds = [[k for *_, k, _ in s] for _, s in done]
             columns = [batch.column("id"), pa.array([t for t, _ in done], pa.string())]
             columns.append(pa.array([",".join(f"{k}:{a}:{b}" for a, b, k, _ in s) for _, s in done], pa.string()))

@@ -106,6 +106,25 @@ def test_what_is_not_valid_stays(text):
     assert pseudonyms.Pseudonyms(KEY).replace(text) == (text, [])
 
 
+BESIDE = [
+    ("card", "4111111111111111", "{} 12/27"), ("card", "4111 1111 1111 1111", "{} 123"), ("card", "4111111111111111", "12 {}"), ("card", "4111-1111-1111-1111", "12 {} 12/27 123"),
+    ("card", "4111111111111111", "{} 10.0.0.1"), ("card", "4111111111111111", "10.0.0.1 {}"), ("card", "5500 0000 0000 0004", "EUR 12.50 {} 99.00"), ("card", "4111111111111111", "1 2 3 {} 4 5 6"),
+    ("iban", "ES91 2100 0418 4502 0005 1332", "{} EUR"), ("iban", "ES9121000418450200051332", "IBAN {} EUR 12"), ("iban", "GB82 WEST 1234 5698 7654 32", "AB12 {} BIC ABCD"), ("iban", "GB82 WEST 1234 5698 7654 32", "{} 10.0.0.1"),
+]
+
+
+@pytest.mark.parametrize("kind,value,around", BESIDE)
+def test_values_beside_numbers_and_words(frame, kind, value, around):
+    text = around.format(value)
+    new, spans = pseudonyms.Pseudonyms(KEY).replace(text)
+    at = text.index(value)
+    # Whatever else is taken with it, no digit group of the value stays in clear.
+    assert any(k == kind and s <= at and at + len(value) <= e for s, e, k, _ in spans), (spans, new)
+    assert value not in new
+    there = pseudonyms.pseudonymise(frame([(1, text)]), KEY)
+    assert pseudonyms.pseudonymise(there, KEY, inverse=True, spans_col="spans").first().text == text
+
+
 def test_equal_values_stay_linked(frame):
     docs = frame([(1, "4111 1111 1111 1111"), (2, "card 4111-1111-1111-1111!"), (3, None), (4, ""), (4, "x " * 100_000 + "10.0.0.1")])
     found = pseudonyms.pseudonymise(docs.withColumn("spans", F.lit(1)), KEY).collect()
