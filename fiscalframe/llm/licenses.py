@@ -1,7 +1,10 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each normalised to lower-case ASCII letters and
-digits with single spaces.  Sentences that are known become identifiers, and the
+A text is cut into pieces, each normalised to lower-case ASCII letters and
+digits with single spaces.  Full stops, question marks and blank lines (comment marks alone are one) end a
+sentence; a line break, colon or semicolon ends a piece, and pieces that follow one another
+can be one sentence, so wrapped texts behind comment marks are read, and notices of one line as well.
+Where several begin, the longest is taken.  Sentences that are known become identifiers, and the
 sequence of a document's identifiers is matched, left to right, against ordered
 rules: at a place the first rule that fits wins and takes its identifiers.
 
@@ -95,6 +98,9 @@ RULES = (
 
 # A sentence ends at a line break, or at a full stop, question mark, colon or semicolon with any marks after it, before a space.
 SENTENCE_END = r"\n|[.?:;][^A-Za-z0-9\s]*(?:\s|$)"
+# The same in two kinds, marked with letters that a lower-cased text does not have: what no sentence goes across, and what one may.
+HARD_END = r"[.?][^A-Za-z0-9\s]*(?:\s|$)|\n(?=[^a-z0-9\n]*\n)"
+SOFT_END = r"\n|[:;][^A-Za-z0-9\s]*(?:\s|$)"
 # Every known sentence holds one of these.
 ANCHOR = "licen|permission|software|redistribution|cc0"
 
@@ -108,8 +114,11 @@ def sentence_ids(text: Column, sentences: dict = SENTENCES, anchor: str = ANCHOR
     known = _names(sentences)
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     low = F.lower(text)
-    normal = F.transform(F.split(low, SENTENCE_END), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    ids = F.transform(F.filter(normal, lambda s: s.isin(*known)), lambda s: F.element_at(lookup, s))
+    marked = F.regexp_replace(F.regexp_replace(low, HARD_END, " H "), SOFT_END, " S ")
+    normal = F.regexp_replace(F.concat(F.lit("H "), marked, F.lit(" H")), "[^a-z0-9HS]+", " ")
+    longest = sorted(known, key=len, reverse=True)
+    pattern = "(?<=[HS] )(" + "|".join(x.replace(" ", " (?:S )*+") for x in longest) + ")(?= [HS])"
+    ids = F.transform(F.regexp_extract_all(normal, F.lit(pattern), F.lit(1)), lambda s: F.element_at(lookup, F.regexp_replace(s, " S(?= )", "")))
     return F.when(low.rlike(anchor), ids).otherwise(F.array().cast("array<string>"))
 
 

@@ -196,6 +196,60 @@ def test_licences(frame):
     assert licenses.recognise(frame([])).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Anna Rossi
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.
+"""
+GPL = """Copyright (C) 2020  Anna Rossi
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful.
+"""
+ISC = """Copyright 2020 Anna Rossi
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+
+def test_wrapped_licences(frame):
+    wrapped = {"MIT": MIT, "GPL-3.0-or-later": GPL, "GPL-2.0-or-later": GPL.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("3 of", "2 of"), "ISC": ISC, "BSD-3-Clause": BSD}
+    styles = {"plain": lambda t: t, "windows": lambda t: t.replace("\n", "\r\n"), "hash": lambda t: "".join(f"# {x}\n" for x in t.split("\n")), "star": lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */\nint main;"}
+    asked = [(f"{name} {style}", change(text)) for name, text in wrapped.items() for style, change in styles.items()]
+    more = [("one line", "bla bla\nReleased under the MIT License\nbla bla"), ("across", "Released under.\nThe MIT\n\nLicense"), ("marks", "HS H S released under the H mit license")]
+    found = {r.doc_id: (r.licenses, r.status) for r in licenses.recognise(frame(asked + more, "doc_id string, text string")).collect()}
+    assert {i: found[i] for i, _ in asked} == {i: (i.split()[0], "matched") for i, _ in asked}
+    assert found["one line"] == ("MIT", "matched") and found["across"] == found["marks"] == ("", "none")
+
+
 def test_licence_table_is_normal():
     for texts in licenses.SENTENCES.values():
         for text in texts:
