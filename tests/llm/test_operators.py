@@ -341,9 +341,10 @@ def test_short_items_in_long_foreign_text(frame, monkeypatch):
         docs.append((d, " ".join(words)))
     benchmark = frame(items, "item_id long, text string")
     found = {(r.id, r["item"]) for r in decontamination.find(frame(docs), benchmark).collect()}
+    assert expected <= found
     monkeypatch.setattr(decontamination, "_held", lambda lists, *_: __import__("numpy").ones(len(lists), bool))
     every = {(r.id, r["item"]) for r in decontamination.find(frame(docs), benchmark).collect()}
-    assert expected <= found and expected <= every
+    assert expected <= every
 
 
 def test_decontamination_without_rows(frame):
