@@ -18,7 +18,6 @@ from fiscalframe.llm import (
     language,
     licenses,
     mixing,
-    near_copies,
     pseudonyms,
     quality,
     secret_scan,
@@ -539,59 +538,6 @@ def test_simhash_groups(frame):
     assert simhash.group(frame([])).count() == 0
 
 
-# --- near copies ---
-
-
-def brute_near(texts):
-    """The least id of each group that a Jaccard similarity of 0.8 of five-word shingles connects."""
-    sets = {}
-    for i, t in texts.items():
-        words = (t or "").lower().split()
-        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
-    root = {i: i for i in sets}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, x in sets.items():
-        for j, y in sets.items():
-            if j < i and len(x & y) >= 0.8 * len(x | y):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    return {i: find(i) for i in sets}
-
-
-@pytest.mark.parametrize("turns", [0, 4])
-def test_near_copies_against_brute_force(spark, frame, turns):
-    """Copies with words changed up to and beyond the limit, two large groups of them, and chains."""
-    random, texts = Random(11), {0: None, 1: "", 2: "uno", 3: "UNO", 4: "uno due tre", 5: " "}
-    for base in range(40):
-        words = prose(3000 + base, random.choice([8, 40, 120, 250]), 4000).split()
-        for _ in range(60 if base < 2 else 4):
-            copy = list(words)
-            for _ in range(random.randrange(1 + len(words) // 25)):
-                copy[random.randrange(len(words))] = f"n{random.randrange(10**6)}"
-            texts[len(texts)] = " ".join(copy)
-            if base % 5 == 4:
-                words = copy
-    expected = brute_near(texts)
-    found = {r.doc_id: r.component_id for r in near_copies.group(frame(list(texts.items())), turns=turns).collect()}
-    assert found == expected and 60 < len(set(expected.values())) < len(texts) - 60
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    docs = frame([(i, t, None, None, None) for i, t in texts.items()], schema)
-    assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == set(expected.values())
-
-
-def test_near_copies_odd(frame):
-    found = near_copies.group(frame([*ODD, (9, None)]).withColumn("node", F.lit("clash")))
-    assert sorted(map(str, map(tuple, found.collect()))) == sorted(
-        map(str, [(1, 1), (2, 1), (3, 1), (9, 1), (4, 4), (4, 4), (None, 4), (5, 5), (6, 6)])
-    )
-    assert near_copies.group(frame([])).count() == 0
-
-
 # --- repeated passages ---
 
 
@@ -665,6 +611,22 @@ def test_pipeline(spark, tmp_path):
         assert abs(group.taken.sum() - group.target.iloc[0]) <= stages[3].text.str.split().str.len().max()
 
 
+def test_stages_tell_rows_without_id_apart(spark, frame):
+    """Rows without id, or of one id, go for their own text only; of rows in one group one stays."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    leak = next(r.text for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").orderBy("item_id").collect())
+    clean, near = prose(1, 300), prose(1, 300) + " end"
+    assert (simhash.fingerprint(clean) ^ simhash.fingerprint(near)).bit_count() <= 2
+    other = prose(2, 300, 5000)
+    rows = [(None, leak), (None, clean), (None, near), (7, other), (7, f"{other[:900]} {leak}"), (8, near + " ")]
+    docs = frame([(i, t, None, None, None) for i, t in rows], schema)
+    kept_near = corpus_pipeline.near_stage(spark, docs, "").collect()
+    assert len(kept_near) == 4 and sum(r.text.startswith(clean) for r in kept_near) == 1
+    assert next(r for r in kept_near if r.text.startswith(clean)).doc_id is None
+    kept_clean = corpus_pipeline.decontamination_stage(spark, docs, "/root/testdata/sf0.001").collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept_clean))) == sorted(map(str, [rows[1], rows[2], rows[3], rows[5]]))
+
+
 def test_stages_take_odd_tables(spark, frame):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     odd = frame([(i, t, None, s, None) for i, t in ODD for s in ("a", None)], schema).withColumn("score", F.lit("x")).withColumn("key", F.lit("y"))
