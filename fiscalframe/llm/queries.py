@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from fiscalframe.llm import decontamination, exact_dedup, language, licenses, mixing, pseudonyms, quality, secret_scan, simhash, substring_dedup
+from fiscalframe.llm import decontamination, exact_dedup, language, licenses, merkle, mixing, pseudonyms, quality, secret_scan, simhash, substring_dedup
 from fiscalframe.llm.common import held_out, table
 from fiscalframe.llm.sql import oracle_sql  # noqa: F401
 
@@ -71,6 +71,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    whole = merkle.leaf(*columns, F.col("text"))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    claimed = F.when(tampered, merkle.leaf(*columns, merkle.lower_ascii(F.col("text")))).otherwise(whole)
+    leaves = docs.select("doc_id", "lang", whole.alias("leaf"), claimed.alias("claimed"))
+    return merkle.manifest(leaves, "lang", ["doc_id"], ["doc_id"])
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -83,5 +93,6 @@ def queries() -> dict[str, Query]:
         "op8_simhash": op8_simhash,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_quality": op10_quality,
+        "op13_merkle": op13_merkle,
         "pipeline": corpus_pipeline.run,
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from fiscalframe.llm.licenses import ANCHOR, RULES, SENTENCE_END, SENTENCES
 
 OP1 = """
@@ -53,5 +55,43 @@ FROM cut LEFT JOIN rest USING (doc_id)
 """
 
 
+def op13(levels: int = 7, upper_levels: int = 3) -> str:
+    """Trees of up to 8 ** levels leaves a language and 8 ** upper_levels languages; what has one node left goes up as it is."""
+    head = " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+    body = "coalesce(octet_length(encode({0}))::VARCHAR || ':' || {0}, '-')"
+    lower = f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')"
+    # CRC-32 by bytes and bits, before its last complement.
+    crc = (
+        "list_reduce(list_prepend(4294967295::UBIGINT, [ord(d)::UBIGINT FOR d IN string_split(doc_id::VARCHAR, '')]), lambda c, b: "
+        "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda r, k: xor(r >> 1, (r & 1) * 3988292384::UBIGINT)))"
+    )
+    parts = [f"""
+docs AS (SELECT doc_id, lang, {head} AS head, text, coalesce((4294967295 - {crc}) % 3 = 0, false) AS tampered FROM documents),
+leaves AS (SELECT doc_id, lang, sha256(head || {body.format("text")}) AS leaf, sha256(head || CASE WHEN tampered THEN {body.format(lower)} ELSE {body.format("text")} END) AS claimed FROM docs),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+a0 AS (SELECT lang AS g, pos, leaf AS node FROM placed),
+f0 AS (SELECT *, lang AS g, '' AS proof, claimed AS folded FROM placed)"""]
+
+    def level(nodes: str, folded: str, k: int) -> None:
+        run = "OVER (PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN"
+        parts.append(f"""
+{nodes}{k}s AS (SELECT *, count(*) OVER (PARTITION BY g) AS n, coalesce(string_agg(node, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(node, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {nodes}{k}),
+{nodes}{k + 1} AS (SELECT g, pos // 8 AS pos, CASE WHEN max(n) = 1 THEN max(node) ELSE sha256(string_agg(node, '' ORDER BY pos)) END AS node FROM {nodes}{k}s GROUP BY g, pos // 8),
+{folded}{k + 1} AS (SELECT f.* REPLACE (f.pos // 8 AS pos, proof || l || r AS proof, CASE WHEN n = 1 THEN folded ELSE sha256(l || folded || r) END AS folded)
+  FROM {folded}{k} f JOIN {nodes}{k}s s ON f.g IS NOT DISTINCT FROM s.g AND f.pos = s.pos)""")
+
+    for k in range(levels):
+        level("a", "f", k)
+    parts.append(f"""
+b0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, node, g AS lang FROM a{levels}),
+h0 AS (SELECT f.* REPLACE (0 AS g, b0.pos AS pos), node AS subroot FROM f{levels} f JOIN b0 ON f.lang IS NOT DISTINCT FROM b0.lang)""")
+    for k in range(upper_levels):
+        level("b", "h", k)
+    return f"""WITH {",".join(parts)}
+SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = node AS verified
+FROM h{upper_levels} h, b{upper_levels}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op4_licenses": op4(), "op9_substring_dedup": OP9}
+    return {"op1_exact_dedup": OP1, "op4_licenses": op4(), "op9_substring_dedup": OP9, "op13_merkle": op13()}
