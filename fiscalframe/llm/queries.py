@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from fiscalframe.llm import decontamination, exact_dedup, language, licenses, merkle, mixing, pseudonyms, quality, secret_scan, simhash, substring_dedup
+from fiscalframe.llm import decontamination, exact_dedup, language, licenses, merkle, mixing, pseudonyms, quality, secret_scan, simhash, substring_dedup, vector_codes
 from fiscalframe.llm.common import held_out, table
 from fiscalframe.llm.sql import oracle_sql  # noqa: F401
 
@@ -71,6 +71,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes_and_errors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -93,6 +97,7 @@ def queries() -> dict[str, Query]:
         "op8_simhash": op8_simhash,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_quality": op10_quality,
+        "op12_vector_codes": op12_vector_codes,
         "op13_merkle": op13_merkle,
         "pipeline": corpus_pipeline.run,
     }

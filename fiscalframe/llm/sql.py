@@ -55,6 +55,36 @@ FROM cut LEFT JOIN rest USING (doc_id)
 """
 
 
+def op12(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Distances of all entries in the plain domain; the rounds one after the other."""
+    steps = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::HUGEINT) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+p AS MATERIALIZED (SELECT rid, vec_id, k, x[k * (len(x) // {parts}) + 1 : (k + 1) * (len(x) // {parts})] AS x FROM v, range({parts}) AS r(k)),
+c0 AS MATERIALIZED (SELECT k, e, x FROM (SELECT k, x, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS e FROM p) WHERE e < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT rid, k, min({{'d': list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) AS near
+  FROM p JOIN c{r} c USING (k) GROUP BY rid, k
+)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT k, e, coalesce(mean, c.x) AS x FROM c{r} c LEFT JOIN (
+    SELECT k, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS mean FROM (
+      SELECT k, near.e AS e, i, sum(x[i]) AS s, count(*)::HUGEINT AS n FROM p JOIN a{r} USING (rid, k), unnest(range(1, len(x) + 1)) AS u(i) GROUP BY ALL
+    ) GROUP BY k, e
+  ) USING (k, e)
+)""")
+    return f"""WITH {",".join(steps)},
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY k, e)) AS codebooks_sha256 FROM c{rounds}),
+coded AS (SELECT rid, string_agg(format('{{:02x}}', near.e), '' ORDER BY k) AS code, sum(near.d)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN v USING (rid), books"""
+
+
 def op13(levels: int = 7, upper_levels: int = 3) -> str:
     """Trees of up to 8 ** levels leaves a language and 8 ** upper_levels languages; what has one node left goes up as it is."""
     head = " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
@@ -94,4 +124,4 @@ FROM h{upper_levels} h, b{upper_levels}"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op4_licenses": op4(), "op9_substring_dedup": OP9, "op13_merkle": op13()}
+    return {"op1_exact_dedup": OP1, "op4_licenses": op4(), "op9_substring_dedup": OP9, "op12_vector_codes": op12(), "op13_merkle": op13()}
