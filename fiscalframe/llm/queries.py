@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import public_tokenizers
+
 import corpus_pipeline
-from fiscalframe.llm import decontamination, exact_dedup, language, licenses, merkle, mixing, pseudonyms, quality, secret_scan, simhash, substring_dedup, vector_codes
+from fiscalframe.llm import byte_bpe, decontamination, exact_dedup, language, licenses, merkle, mixing, pseudonyms, quality, secret_scan, simhash, substring_dedup, vector_codes
 from fiscalframe.llm.common import held_out, table
 from fiscalframe.llm.sql import oracle_sql  # noqa: F401
 
@@ -71,6 +73,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
+    decoded = byte_bpe.decode(encoded, vocabulary, ("doc_id", "ids"))
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return decoded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.codes_and_errors(table(spark, sf_dir, "embeddings"))
 
@@ -97,6 +107,7 @@ def queries() -> dict[str, Query]:
         "op8_simhash": op8_simhash,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_quality": op10_quality,
+        "op11_bpe": op11_bpe,
         "op12_vector_codes": op12_vector_codes,
         "op13_merkle": op13_merkle,
         "pipeline": corpus_pipeline.run,

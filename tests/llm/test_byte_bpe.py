@@ -1,0 +1,108 @@
+"""Byte-level BPE against tiktoken, and stored tables against tables made anew."""
+
+from random import Random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from fiscalframe.llm import byte_bpe
+
+PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PARTS = ["a", "b", " ", "\n", "'", "re", "ve", "'ll", "é", "日", "本", "1", "23", "--", "  ", "\t", "x" * 30, "the ", " ", "🙂", "\x00", " città", "Straße"]
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    with open(PATH, "rb") as file:
+        return byte_bpe.read_ranks(file.read())
+
+
+@pytest.fixture(scope="module")
+def known(ranks):
+    other = tiktoken.Encoding("known", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: np.array(other.encode_ordinary(text or ""), "<u4").tobytes()
+
+
+def texts(seed, count):
+    random = Random(seed)
+    for _ in range(count):
+        yield "".join(random.choice(PARTS) for _ in range(random.randrange(40)))
+
+
+def test_encodings_are_tiktokens(ranks, known):
+    encoder = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    random = Random(3)
+    odd = ["", "x" * 5000, "ab" * 3000, "\n" * 999, "".join(random.choice("abcdefgh") for _ in range(20000)), "".join(chr(random.randrange(1, 0x3000)) for _ in range(5000))]
+    for text in [*texts(1, 1500), *odd]:
+        assert encoder.encode(text) == known(text)
+        assert encoder.decode(encoder.encode(text)) == text.encode()
+
+
+def test_every_prefix_has_its_encoding(ranks, known):
+    """The table's last tokens give the encoding of each prefix of a piece, which is what plain merging gives."""
+    encoder = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    for word in ("internationalisation", "aaaaaaaaaaaaaaaa", "città日本日本", "zxqvkjhgfd"):
+        data = word.encode()
+        table = encoder.table(data)
+        for size in range(1, len(data) + 1):
+            assert encoder.read(data[:size], table[:size]) == ([ranks[data[:size]]] if data[:size] in ranks else encoder.merged(data[:size]))
+
+
+def test_vocabularies_with_tokens_that_merging_misses():
+    """A token that its own bytes do not merge to is only used for a whole piece, as tiktoken does; odd ranks."""
+    base = {bytes([k]): k for k in range(256)}
+    odd = base | {b"ab": 256, b"bc": 257, b"abcd": 258, b"aa": 259, b"aaa": 260, b"cd": 261}
+    encoder = byte_bpe.Encoder(odd, r"\w+|\W")
+    other = tiktoken.Encoding("odd", pat_str=r"\w+|\W", mergeable_ranks=odd, special_tokens={})
+    random = Random(2)
+    for _ in range(400):
+        text = "".join(random.choice("abcd ") for _ in range(random.randrange(14)))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == other.encode_ordinary(text)
+        table = encoder.text_table(text)
+        assert encoder.ids(text, table) == encoder.encode(text)
+
+
+def test_edits_give_the_table_of_the_new_text(ranks):
+    encoder, random = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN), Random(7)
+    for text in texts(2, 1500):
+        start = random.randrange(len(text) + 1)
+        end = random.randrange(start, len(text) + 1) if random.random() < 0.7 else start
+        by = "".join(random.choice(PARTS) for _ in range(random.randrange(4)))
+        new, table, _ = encoder.replaced(text, encoder.text_table(text), start, end, by)
+        assert new == text[:start] + by + text[end:] and table == encoder.text_table(new)
+
+
+def test_little_is_computed_near_an_edit(ranks):
+    encoder, random = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN), Random(8)
+    word = "".join(random.choice("abcdefgh") for _ in range(50_000))
+    prose = " ".join(word[k : k + 7] for k in range(0, 20_000, 7))
+    for text in (word, prose):
+        table = encoder.text_table(text)
+        for start, end in ((9000, 9003), (len(text), len(text))):
+            new, after, computed = encoder.replaced(text, table, start, end, "zz")
+            assert after == encoder.text_table(new) and computed < 6 * encoder.longest
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "uno"), (4, "uno"), (None, "due'"), (5, "x" * 200_000), (6, "perché no? 12345 日本語")]
+
+
+def test_tables(spark, frame, known):
+    """Encoding, decoding, appending and editing as Spark tables, with clashing names."""
+    vocabulary = byte_bpe.Vocabulary(spark, PATH, public_tokenizers.PATTERN)
+    docs = frame(ODD).withColumn("ids", F.lit("clash")).withColumn("carried", F.lit("clash"))
+    plain = byte_bpe.encode(docs, vocabulary, ("doc_id", "text"))
+    assert sorted(((r.doc_id, r.text, bytes(r.ids)) for r in plain.collect()), key=repr) == sorted(((i, t, known(t)) for i, t in ODD), key=repr)
+    back = byte_bpe.decode(plain, vocabulary, ("doc_id",)).collect()
+    assert sorted(((r.doc_id, bytes(r.decoded)) for r in back), key=repr) == sorted(((i, (t or "").encode()) for i, t in ODD), key=repr)
+
+    stored = byte_bpe.encode(docs, vocabulary, ("doc_id", "text"), tables=True)
+    more = byte_bpe.append(stored.withColumn("more", F.lit("re e 'poi")), vocabulary, "more")
+    for r in more.collect():
+        assert bytes(r.ids) == known(r.text) and r.text.endswith("re e 'poi")
+    changed = byte_bpe.edit(stored.selectExpr("*", "2L AS a", "5L AS b", "'ll 7' AS by"), vocabulary, "a", "b", "by")
+    expected = [(i, (t or "")[:2] + "ll 7" + (t or "")[5:]) for i, t in ODD]
+    assert sorted(((r.doc_id, r.text, bytes(r.ids)) for r in changed.collect()), key=repr) == sorted(((i, t, known(t)) for i, t in expected), key=repr)
+    assert byte_bpe.encode(frame([]), vocabulary).count() == byte_bpe.decode(byte_bpe.encode(frame([]), vocabulary), vocabulary).count() == 0
