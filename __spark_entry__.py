@@ -233,6 +233,15 @@ def q_wide_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", "invoice_number", "date", "total", "vat_number")
 
 
+def q_many_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier anchors a thousand times over, with and without the stop word that their rules look for."""
+    key = F.col("c_custkey").cast("string")
+    text = F.when(F.col("c_custkey") % 2 == 0, F.repeat(F.lit("ditta "), 1000)).otherwise(F.repeat(F.lit("spett.le a "), 1000))
+    stop = F.when(F.col("c_custkey") % 3 == 0, F.concat(key, F.lit(" | fine"))).otherwise(key)
+    texts = _spread(spark, sf_dir, "customer", "c_custkey").select("c_custkey", F.concat(text, stop).alias("text"))
+    return extract_field(texts, "text", "supplier_name", ExtractionRules()).select("c_custkey", "supplier_name")
+
+
 def q_odd_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary over a manifest with repeats and requests without a path, and over file rows that repeat."""
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
@@ -472,6 +481,7 @@ def invoice_queries() -> dict[str, Query]:
         "f_supplier": q_field("supplier_name", "supplier_name"),
         "f_vat": q_field("vat_number", "vat_number"),
         "wide_gaps": q_wide_gaps,
+        "many_anchors": q_many_anchors,
         "odd_requests": q_odd_requests,
         "extract_all": q_extract_all,
         "parse_number": q_parse_number,

@@ -302,6 +302,12 @@ FROM conversations GROUP BY conv_id""",
         "clean_capture": _CLEANED,
         "rule_chain": _RULES,
         "wide_gaps": _WIDE,
+        "many_anchors": """
+            SELECT c_custkey, CASE
+              WHEN c_custkey % 6 = 0 THEN repeat('ditta ', 999) || c_custkey
+              WHEN c_custkey % 6 = 3 THEN 'a ' || repeat('spett.le a ', 999) || c_custkey
+              WHEN c_custkey % 2 = 0 THEN 'ditta ditta' END AS supplier_name
+            FROM customer""",
         "odd_requests": CORPUS.rstrip() + _ODD,
         "f_invoice_number": fields.format("invoice_number"),
         "f_date": fields.format("date"),

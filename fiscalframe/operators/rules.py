@@ -80,6 +80,15 @@ FIELD_LABELS = {
 # identity; these find the same first match, but possessive runs of spaces are not tried in every
 # split when nothing follows them, so wide gaps cost linear time.  Optional marks
 # and words are possessive only where the capture cannot begin with them.
+#
+# Two supplier rules end at a stop word that need not be there.  If none follows the
+# first anchor, none follows a later one, so the first anchor alone decides; trying each
+# would read the rest of the text once for every anchor.
+def _first_only(anchor: str) -> str:
+    """Up to the first anchor of a text, tried no further."""
+    return rf"\A(?>.*?(?:{anchor}))"
+
+
 _RUN_AMOUNT = r"\(?+\s*+(?:[-−]\s*+)?+\d{1,3}(?:[. ]\d{3})*(?:,\d{1,2})?\s*+\)?"
 _RUN_CODE = r"(\S[\w/\-.]{0,40}?)(?:\s|$|\\n)"
 _RUN_VAT_WORD = r"p[.]?+\s*+(?:[.]\s*+)?+iva"
@@ -107,8 +116,8 @@ RUN_FORMS: dict[str, tuple[str, ...]] = {
     ),
     "supplier_name": (
         rf"(?:fornitore|mittente|emittente|dal|prestatore)\s*+[.:]?+\s*+(.+?)(?:\\n|\||via\s|{_RUN_VAT_WORD}|{_RUN_TAX_WORD}|indirizzo|telefono|email|$)",
-        r"spett[.]?+\s*+le\s*+(.+?)(?:\\n|\||via\s|c.a\.|p[.]?+\s*+iva)",
-        r"(?:ragione\s*+sociale|denominazione|ditta|societ[àa])\s*+[.:]?+\s*+(.+?)(?:\\n|\||via|p[.]?+\s*+iva|cod\s*+fisc|tel)",
+        _first_only(r"spett[.]?+\s*+le") + r"\s*+(.+?)(?:\\n|\||via\s|c.a\.|p[.]?+\s*+iva)",
+        _first_only(r"ragione\s*+sociale|denominazione|ditta|societ[àa]") + r"\s*+[.:]?+\s*+(.+?)(?:\\n|\||via|p[.]?+\s*+iva|cod\s*+fisc|tel)",
         PATTERNS["supplier_name"][3],
     ),
     "vat_number": (

@@ -184,6 +184,34 @@ def test_wide_gaps_cost_little(spark):
     assert time.perf_counter() - start < 20  # all of them; one alone took hours
 
 
+SUPPLIER_PIECES = [
+    "ditta", "Ditta:", "società", "ragione sociale", "ragione", "denominazione.", "spett.le", "spett le", "spettle", "dal", "fornitore", "preſtatore",
+    "via ", "via", "|", "\\n", "c/a.", "c", "p. iva", "piva", "cod fisc", "tel", "S.r.l.", "x", "Casa", ":", ".", " ", "\n", "  ", "\u00a0",
+]
+
+
+def test_rules_equal_python_among_many_anchors(spark):
+    """Texts of little but anchors and stops, in which later anchors follow the first one with and without a stop between."""
+    rng = random.Random(23)
+    texts = ["".join(rng.choice(SUPPLIER_PIECES) + rng.choice(["", " "]) for _ in range(rng.randint(0, 12))) for _ in range(8000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(8)
+    for pattern in PATTERNS["supplier_name"]:
+        got = {r.i: r.supplier_name for r in first_captures(rows, "text", ExtractionRules({name: (pattern,) for name in FIELDS}), ("supplier_name",)).collect()}
+        for i, text in enumerate(texts):
+            assert got[i] == brute_first(text, [pattern]), (pattern, text)
+
+
+def test_many_anchors_cost_little(spark):
+    """100,000 times each anchor, without a stop after any of them: linear for every rule."""
+    anchors = [piece for piece in PIECES if piece.strip() and piece.isascii()] + ["ditta ", "spett.le a ", "società:", "ragione sociale ", "denominazione. ", "nota ", "p. ", "cod. ", "1 ", "12345678901 ", "n.", "data: 1"]
+    first_captures(spark.createDataFrame([("x",)], "text string"), "text", ExtractionRules()).collect()
+    for anchor in anchors:
+        rows = spark.range(1).select(F.expr(f"repeat('{anchor.replace(chr(92), chr(92) * 2)}', 100000)").alias("text"))
+        start = time.perf_counter()
+        first_captures(rows, "text", ExtractionRules()).collect()
+        assert time.perf_counter() - start < 10, anchor  # most of it planning; the quadratic forms took hours
+
+
 def test_run_forms_equal_the_published_rules():
     """With Python's own engine, which knows possessive runs too, on texts with wide gaps."""
     rng = random.Random(13)
