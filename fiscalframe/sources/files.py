@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -15,37 +14,57 @@ def is_pdf_name(name: Column) -> Column:
     return F.lower(name).rlike(r"(?s)[^/]\.pdf\z")
 
 
+# What a path pattern reads as more than itself.
+_GLOB_CHARACTERS = re.compile(r"([\\*?{}\[\]])")
+
+
+def _without_local_scheme(uri: Column) -> Column:
+    return F.regexp_replace(uri, r"\Afile:/+", "/")
+
+
 def scan_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """The PDF files at a path as (path, file_name, file_size).
 
-    A folder contributes its ``*.pdf`` files (case-sensitive), with ``recursive``
-    those of all its sub-folders, whatever these are called; a single file may
-    be named ``.PDF`` too, and is an error if it is no PDF by name.  Only metadata
-    is read.  Names starting with "." or "_" are hidden to Spark.
+    The path may be relative to the working folder, or spelt with "." or repeated slashes; results have absolute
+    paths.  A folder contributes its ``*.pdf`` files (case-sensitive), with ``recursive``
+    those of all its sub-folders, whatever these are called; without it no sub-folder is listed.  A single file may
+    be named ``.PDF`` too, and is an error if it is no PDF by name, as is a path that
+    does not exist.  Only metadata is read.  Names starting with "." or "_" are hidden to Spark.
 
-    Spark lists a folder on the driver.  Where there are too many files for that,
+    Spark lists folders on the driver; the list stays in the JVM.  Where there are too many files for that,
     an inventory (a table of the same three columns, as object stores deliver
     it) takes the place of this scan in everything that follows.
     """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    given = hadoop.Path(path)
+    system = given.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    root = system.makeQualified(given)
+    if not system.exists(root):
+        raise FileNotFoundError(f"Il percorso non esiste: {path}")
+    # Spark reads any path as a pattern, so one that is meant as it stands is escaped.
+    literal = _GLOB_CHARACTERS.sub(r"\\\1", root.toString())
+    if system.getFileStatus(root).isFile():
+        if not root.getName().lower().endswith(".pdf"):
+            raise ValueError(f"Il file non è un PDF: {path}")
+        pattern = literal
+    else:
+        pattern = literal if recursive else f"{literal.rstrip('/')}/*.pdf"
+        if not recursive and not len(system.globStatus(hadoop.Path(pattern))):
+            return spark.createDataFrame([], "path string, file_name string, file_size bigint")
     # Recursive in any case: else Spark takes sub-folders named k=v for partitions.
     # A listed file that cannot be read is an error, so one without a row is empty.
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", False)
-    name = path.rstrip("/").rsplit("/", 1)[-1]
-    own_name = re.sub(r"([\\*?{}\[\],])", r"\\\1", name)
-    root = re.sub(r"\A[a-z0-9]+:(?://[^/]*)?", "", path).rstrip("/")
-    found = listing.option("pathGlobFilter", own_name).load(path)
-    single = [unquote(urlsplit(uri).path) for uri in found.inputFiles()] == [root]
-    if single and not name.lower().endswith(".pdf"):
-        raise ValueError(f"Il file non è un PDF: {path}")
-    if not single:
-        found = listing.option("pathGlobFilter", "*.pdf").load(path)
-    listed = spark.createDataFrame([(p,) for p in found.inputFiles()], "uri string")
-    plain = F.regexp_replace(F.url_decode(F.regexp_replace("uri", r"\+", "%2B")), r"\Afile:/+", "/")
-    listed = listed.select(plain.alias("path"))
-    if not single and not recursive:
-        without_name = F.expr("substr(path, 1, length(path) - length(substring_index(path, '/', -1)) - 1)")
-        listed = listed.filter(F.regexp_replace(without_name, r"\A[a-z0-9]+:(?://[^/]*)?", "") == root)
-    sizes = found.select(F.regexp_replace("path", r"\Afile:/+", "/").alias("path"), "length")
+    found = (listing.option("pathGlobFilter", "*.pdf") if recursive else listing).load(pattern)
+    uris = spark._jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(found._jdf.inputFiles())
+    listed = DataFrame(spark._jsparkSession.createDataset(uris, spark._jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark)
+    # A plus sign in a URI's path is itself.
+    decoded = F.url_decode(F.regexp_replace("value", r"\+", "%2B"))
+    listed = listed.select(_without_local_scheme(decoded).alias("path"))
+    if not recursive and pattern != literal:
+        # A folder called x.pdf is matched, too, and listed in place of itself.
+        own = _without_local_scheme(F.lit(root.toString().rstrip("/")))
+        listed = listed.filter(F.expr("substr(path, 1, length(path) - length(substring_index(path, '/', -1)) - 1)") == own)
+    sizes = found.select(_without_local_scheme(F.col("path")).alias("path"), "length")
     return listed.join(sizes, "path", "left").select(
         "path", file_name(F.col("path")).alias("file_name"), F.coalesce("length", F.lit(0)).alias("file_size")
     )
