@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fiscalframe.functions.text import file_name, is_blank
 from fiscalframe.sources.pages import assemble_pages
 
+# No path holds this character.
+_NO_PATH = "\u0001"
+
 
 def error_kind(size: Column, unexpected: Column, decode_error: Column, n_pages: Column, blank: Column) -> Column:
     """Why a document cannot be read; null if it can.  The first reason counts."""
@@ -47,9 +50,11 @@ def document_texts(pages: DataFrame, manifest: DataFrame | None = None) -> DataF
     """
     pages = pages.filter(F.col("path").isNotNull())
     if manifest is not None:
-        # Distinct, so that a path requested very often is one row of its join
-        # partition; the requests below are made distinct by the same exchange.
-        pages = pages.join(manifest.select("path").distinct(), "path", "left_semi")
+        # Distinct, so that a path requested very often is one row of its join partition.  Said as a
+        # comparison, "has a path" lets Spark put a Bloom filter of the requests before the shuffle of
+        # large page tables (session.SETTINGS); a test for null would not.
+        asked = manifest.select("path").filter(F.col("path") >= "").distinct()
+        pages = pages.join(asked, "path", "left_semi")
     return assemble_pages(pages).withColumn("blank", is_blank(F.col("text")))
 
 
@@ -63,21 +68,26 @@ def with_read_errors(texts: DataFrame, files: DataFrame, manifest: DataFrame | N
     for name in ("file_name", "decode_error", "unexpected_error"):
         if name not in files.columns:
             files = files.withColumn(name, F.lit(None).cast("string"))
+    # All meet on a key that is the path, or no possible path for none: joins and groups of one
+    # partitioning, which null-safe joins would not share.
+    files = files.withColumn("_key", F.coalesce("path", F.lit(_NO_PATH)))
     # Of several rows of a path the one with the largest size counts.
     known = F.max(F.struct("file_size", "file_name", "decode_error", "unexpected_error")).alias("known")
-    requested = files.groupBy("path").agg(known).select("path", "known.*")
+    requested = files.groupBy("_key").agg(known)
     if manifest is not None:
-        asked = manifest.select(F.col("path").alias("_asked")).distinct()
-        requested = asked.join(requested, F.col("_asked").eqNullSafe(F.col("path")), "left").drop("path").withColumnRenamed("_asked", "path")
+        asked = manifest.select(F.coalesce("path", F.lit(_NO_PATH)).alias("_key")).distinct()
+        requested = asked.join(requested, "_key", "left")
+    requested = requested.select("_key", F.nullif("_key", F.lit(_NO_PATH)).alias("path"), "known.*")
+    texts = texts.withColumnRenamed("path", "_text_path")
 
     path, name, kind = F.col("path"), F.col("filename"), F.col("error_kind")
     unexpected, decode_error = F.col("unexpected_error"), F.col("decode_error")
     found = (
-        requested.join(texts, "path", "left")
+        requested.join(texts, F.col("_key") == F.col("_text_path"), "left")
         .withColumn("filename", F.coalesce("file_name", file_name(path)))
         .withColumn("error_kind", error_kind(F.col("file_size"), unexpected, decode_error, F.col("n_pages"), F.col("blank")))
     )
-    carried = [c for c in texts.columns if c not in ("path", "n_pages", "blank")]
+    carried = [c for c in texts.columns if c not in ("_text_path", "n_pages", "blank")]
     return found.select(
         "path",
         "filename",

@@ -56,25 +56,17 @@ def grand_total(invoices: DataFrame) -> DataFrame:
 def rows_and_total(invoices: DataFrame, *columns: Column) -> DataFrame:
     """The given columns of every invoice (``is_total`` false), and one row with them null and ``grand_total`` (true).
 
-    Every invoice passes once: as itself, and with its total alone into a sum
-    that is added up before the rows are moved.
+    Both parts read one exchange of the narrow rows, so invoices are extracted once.  It is dealt by a
+    hash of all its columns, which therefore neither part can prune; that would make
+    two exchanges of them.  AQE splits what is dealt unevenly.
     """
-    row = F.struct(*columns)
-    amounts = [F.col("total").alias("_total"), F.col("total_dec").alias("_total_dec")]
-    no_amounts = [F.lit(None).cast(invoices.schema[c].dataType).alias(f"_{c}") for c in ("total", "total_dec")]
-    rows = invoices.select(row.alias("_row"), *amounts, F.monotonically_increasing_id().alias("_id"))
-    both = rows.select(
-        F.inline(
-            F.array(
-                F.struct(F.lit(False).alias("is_total"), F.col("_id"), F.col("_row"), *no_amounts),
-                F.struct(F.lit(True).alias("is_total"), F.lit(None).cast("bigint").alias("_id"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col("_total"), F.col("_total_dec")),
-            )
-        )
-    )
-    # A batch of nothing has a total, too.
-    nothing = invoices.sparkSession.range(1).select(F.lit(True).alias("is_total"), *[F.lit(None).cast(both.schema[c].dataType).alias(c) for c in both.columns[1:]])
-    found = both.unionByName(nothing).groupBy("is_total", "_id", "_row").agg(sum_of_totals(F.col("_total"), F.col("_total_dec")).alias("grand_total"))
-    return found.select("is_total", "_row.*", "grand_total")
+    narrow = invoices.select(*columns, F.col("total").alias("_total"), F.col("total_dec").alias("_total_dec"))
+    shown = narrow.columns[:-2]
+    moved = narrow.withColumn("_deal", F.xxhash64(*[F.col(f"`{c}`") for c in narrow.columns])).hint("rebalance", "_deal")
+    total = moved.agg(F.count("_deal").alias("_rows"), sum_of_totals(F.col("_total"), F.col("_total_dec")).alias("grand_total"))
+    rows = moved.select(F.lit(False).alias("is_total"), *shown, F.lit(None).cast(total.schema["grand_total"].dataType).alias("grand_total"))
+    nothing = [F.lit(None).cast(narrow.schema[c].dataType).alias(c) for c in shown]
+    return rows.unionByName(total.select(F.lit(True).alias("is_total"), *nothing, "grand_total"))
 
 
 def fatture_with_total(invoices: DataFrame, order: str = "path") -> DataFrame:

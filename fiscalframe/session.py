@@ -13,6 +13,12 @@ SETTINGS = {
     # Joins whose smaller side fits in memory per partition need not sort the
     # other side, which may be page texts.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # A Bloom filter of the requested paths at the scan of page texts, also where the requests are too
+    # many to broadcast: of 8 MB at most, and of use up to some ten million paths.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": "67108864",
     # The rule chains generate long methods.  The JVM compiles none beyond 8000
     # bytes, so Spark had better cut them up.
     "spark.sql.codegen.hugeMethodLimit": "8000",

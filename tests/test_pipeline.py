@@ -1,4 +1,6 @@
 import json
+import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from fiscalframe.operators.numbering import number_rows
 from fiscalframe.operators.requests import per_request
 from fiscalframe.operators.rules import merge_rule_tables, rules_from_table
 from fiscalframe.plans import reports
+from fiscalframe.sinks.csv_text import csv_lines
 from fiscalframe.sources.files import accept_uploads, skipped_files
 from fiscalframe.sources.pages import assemble_pages, read_text_documents
 
@@ -268,6 +271,54 @@ def test_file_listing_order_and_sizes(spark):
     ]
 
 
+def final_plan(df):
+    """The plan that ran, without the initial ones, which are printed indented below it."""
+    df.collect()
+    lines, skipped = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        indent = len(line) - len(line.lstrip(" :+-"))
+        if skipped is None or indent < skipped:
+            skipped = indent if "== Initial Plan ==" in line else None
+            lines.append(line)
+    return "\n".join(lines)
+
+
+def test_total_and_rows_share_one_exchange(spark):
+    """No aggregate is keyed by the rows; they are shuffled once for both parts."""
+    made = invoices_of(spark, {"/in/a.pdf": samples.STANDARD, "/in/b.pdf": samples.ZERO})
+    for both in (reports.fatture_with_total(made), csv_lines(made)):
+        plan = final_plan(both)
+        assert "ReusedExchange" in plan and plan.count("RoundRobin") == 0
+        keys = {re.sub(r"#\d+", "", k) for k in re.findall(r"Aggregate\(keys?=\[([^\]]*)", plan)}
+        assert keys == {"", "_key", "path"}
+
+
+def test_numbering_reads_its_input_twice(spark, tmp_path):
+    spark.range(5000).selectExpr("concat('/d/', id % 7, '/', id) AS path", "id AS file_size").write.parquet(str(tmp_path / "files"))
+    plan = final_plan(reports.file_listing(spark.read.parquet(str(tmp_path / "files"))))
+    assert plan.count("FileScan") == 2 and "NestedLoop" not in plan and plan.count("ReusedExchange") == 1
+
+
+def test_requests_filter_page_texts_before_they_move(spark, tmp_path):
+    """With more requests than can be broadcast, a Bloom filter of them is tested at the scan of a large page table."""
+    spark.range(2000).selectExpr("concat('/d/', id) AS path", "1 AS page_no", "repeat('Totale 5 ', 50) AS page_text").write.parquet(str(tmp_path / "pages"))
+    spark.range(0, 2000, 100).selectExpr("concat('/d/', id) AS path", "9L AS file_size").write.parquet(str(tmp_path / "files"))
+    pages, files = (spark.read.parquet(str(tmp_path / name)) for name in ("pages", "files"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1KB"}
+    before = {name: spark.conf.get(name, None) for name in conf}
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        made = extract_invoices(files, pages, files.select("path").union(files.select("path")).distinct())
+        assert made.count() == 20 and {r.total for r in made.collect()} == {5.0}
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[: plan.index("/pages")] if "/pages" in plan else plan
+        assert "might_contain" in below and below.index("might_contain") > below.index("collect_list")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
 def test_scan_files(spark, tmp_path):
     names = ["b.pdf", "a b+c%20.pdf", "vuoto.pdf", "B.PDF", "x.txt", "sub/d.pdf", "sub/deep/e.pdf", "anno=2024/n.pdf", "anno=2024/m=1/o.pdf"]
     for name in names:
@@ -285,6 +336,40 @@ def test_scan_files(spark, tmp_path):
         scan_files(spark, str(tmp_path / "x.txt"))
 
 
+def test_scan_files_takes_any_spelling_of_a_path(spark, tmp_path):
+    for name in ("a.pdf", "vuoto.pdf", "x.pdf/in.pdf", "k=v/b.pdf", "sub/c.pdf", "[1] {x}*?/d.pdf", "[1] {x}*?/sub/e.pdf"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if name == "vuoto.pdf" else b"12345")
+    working = spark._jvm.java.lang.System.getProperty("user.dir")
+    relative = os.path.relpath(tmp_path, working)
+    expected = [(str(tmp_path / "a.pdf"), "a.pdf", 5), (str(tmp_path / "vuoto.pdf"), "vuoto.pdf", 0)]
+    for spelt in (str(tmp_path), f"{tmp_path}/", relative, f"./{relative}", f"{tmp_path.parent}/./{tmp_path.name}", f"{tmp_path.parent}//{tmp_path.name}", f"file://{tmp_path}", f"{tmp_path}/sub/.."):
+        assert sorted(map(tuple, scan_files(spark, spelt).collect())) == expected, spelt
+    for spelt in (f"{relative}/a.pdf", f"./{relative}/a.pdf", f"{tmp_path}//a.pdf", f"{tmp_path}/./a.pdf"):
+        assert list(map(tuple, scan_files(spark, spelt).collect())) == expected[:1], spelt
+    deep = {r.path for r in scan_files(spark, relative, recursive=True).collect()}
+    assert deep == {str(tmp_path / n) for n in ("a.pdf", "vuoto.pdf", "x.pdf/in.pdf", "k=v/b.pdf", "sub/c.pdf", "[1] {x}*?/d.pdf", "[1] {x}*?/sub/e.pdf")}
+    odd = scan_files(spark, str(tmp_path / "[1] {x}*?")).collect()
+    assert [(r.path, r.file_size) for r in odd] == [(str(tmp_path / "[1] {x}*?/d.pdf"), 5)]
+    assert scan_files(spark, str(tmp_path / "k=v")).count() == 1 and scan_files(spark, str(tmp_path / "k=v/..")).count() == 2
+    (tmp_path / "empty").mkdir()
+    assert scan_files(spark, str(tmp_path / "empty")).count() == scan_files(spark, str(tmp_path / "empty"), recursive=True).count() == 0
+    for missing in (str(tmp_path / "no"), f"{relative}/no.pdf", str(tmp_path / "*.pdf")):
+        with pytest.raises(FileNotFoundError, match="non esiste"):
+            scan_files(spark, missing)
+
+
+def test_a_flat_scan_lists_no_sub_folder(spark, tmp_path, monkeypatch):
+    """What Spark is given to list: files of the folder itself, however many there are below."""
+    (tmp_path / "a.pdf").write_bytes(b"1")
+    (tmp_path / "sub").mkdir()
+    for k in range(50):
+        (tmp_path / "sub" / f"{k}.pdf").write_bytes(b"1")
+    seen = []
+    monkeypatch.setattr("pyspark.sql.DataFrameReader.load", lambda self, path, load=type(spark.read).load: seen.append(load(self, path)) or seen[-1])
+    assert scan_files(spark, str(tmp_path)).count() == 1 and [len(s.inputFiles()) for s in seen] == [1]
+
+
 def test_scanned_folder_end_to_end(spark, tmp_path):
     """A folder's files joined with page texts that were decoded elsewhere, by path."""
     for name in ("ok.pdf", "vuoto.pdf"):
