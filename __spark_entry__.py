@@ -305,6 +305,35 @@ def q_parse_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("o_orderkey", "shape", parse_italian_date(F.col("text"), DATE_FORMATS).alias("iso"))
 
 
+# Formats of users, with times, names of days, days of the year and weeks; the last ones are of no day.
+CUSTOM_DATE_FORMATS = ("%d/%m/%Y %H:%M", "%A %d %B %Y", "%j/%Y", "%m/%d/%Y %I:%M:%S %p", "%G-W%V-%u", "%U.%w.%Y")
+
+
+def q_custom_date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weekdays = F.split(F.lit("lunedì martedì mercoledì giovedì venerdì sabato domenica"), " ")
+    day = F.col("o_orderdate")
+    iso = [F.extract(F.lit(part), day).cast("string") for part in ("YEAROFWEEK", "WEEK", "DAYOFWEEK_ISO")]
+    # Weeks that begin on Sunday, counted from the first Sunday.
+    sunday = F.floor((F.dayofyear(day) + 6 - F.dayofweek(day) + 1) / 7).cast("string")
+    texts = _spread(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select(
+        "o_orderkey",
+        _choices(
+            "shape",
+            "text",
+            ("time", F.concat(F.date_format(day, "d/M/yyyy"), F.lit(" 7:05"))),
+            ("weekday", F.concat_ws(" ", F.initcap(F.get(weekdays, F.weekday(day))), F.expr(ITALIAN_DATE))),
+            ("yearday", F.date_format(day, "D/yyyy")),
+            ("half_day", F.concat(F.date_format(day, "MM/dd/yyyy"), F.lit(" 12:59:59 pm"))),
+            ("iso_week", F.concat(iso[0], F.lit("-W"), F.lpad(iso[1], 2, "0"), F.lit("-"), iso[2])),
+            ("sunday_week", F.concat_ws(".", sunday, (F.dayofweek(day) - 1).cast("string"), F.year(day).cast("string"))),
+            ("no_time", F.concat(F.date_format(day, "d/M/yyyy"), F.lit(" 24:05"))),
+            ("no_day", F.concat(F.lit("367/"), F.year(day))),
+        ),
+    )
+    formats = ExtractionRules().merge({}, CUSTOM_DATE_FORMATS).date_formats
+    return texts.select("o_orderkey", "shape", parse_italian_date(F.col("text"), formats).alias("iso"))
+
+
 def q_date_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = prose(spark, sf_dir, "documents", "doc_id", "text")
     return extract_fields(texts).select("doc_key", "date")
@@ -486,6 +515,7 @@ def invoice_queries() -> dict[str, Query]:
         "extract_all": q_extract_all,
         "parse_number": q_parse_number,
         "parse_date": q_parse_date,
+        "custom_date_formats": q_custom_date_formats,
         "date_negative": q_date_negative,
         "documents_fields": q_prose("documents", "doc_id", "text"),
         "pages_fields": q_prose("pages", "page_id", "html"),

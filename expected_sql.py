@@ -319,6 +319,9 @@ FROM conversations GROUP BY conv_id""",
         ),
         "parse_number": _NUMBERS,
         "parse_date": _DATES,
+        "custom_date_formats": """
+            SELECT o_orderkey, shape, CASE WHEN shape NOT LIKE 'no%' THEN strftime(o_orderdate, '%Y-%m-%d') END AS iso
+            FROM orders, (VALUES ('time'), ('weekday'), ('yearday'), ('half_day'), ('iso_week'), ('sunday_week'), ('no_time'), ('no_day')) AS s(shape)""",
         "date_negative": (
             f"WITH captured AS (SELECT doc_id AS doc_key, {_chain('date')} AS date FROM documents) "
             f"SELECT doc_key, coalesce({_iso('date')}, date) AS date FROM captured"

@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, functions as F
 
 from fiscalframe.functions.dialect import to_java
+from fiscalframe.functions.strptime import grammar, read_strptime
 from fiscalframe.functions.text import ascii_digits, lookup, strip
 
 # Month names by number, and what each date directive reads.
@@ -46,33 +47,39 @@ _LONG_FORM = to_java(r"\A(\d{1,2})\s*(" + "|".join(ITALIAN_MONTHS) + r")\s*(\d{4
 
 
 def _read_format(fmt: str, century: str = "") -> tuple[str, dict[str, int]]:
-    """Pattern of a strptime-style format, and the group number of each directive."""
+    """Pattern of a plain format, and the group number of each directive."""
     groups: dict[str, int] = {}
     body = plain = ""
     for token in re.finditer(r"%(.)|(\s+)|(%)|([^%\s]+)", fmt, re.DOTALL):
-        directive, space, stray, literal = token.groups()
+        directive, space, _, literal = token.groups()
         part = r"\s+" if space else re.escape(literal or "%")
-        if directive in _DIRECTIVES and directive not in groups:
+        if directive in _DIRECTIVES:
             groups[directive] = len(groups) + 1
             part = _CENTURIES[century] if directive == "y" and century else _DIRECTIVES[directive]
-        elif stray or directive and directive != "%":
-            raise ValueError(f"Formato data non supportato: {fmt} (%{directive or ''})")
         body += part
         plain += "(?:" + part[1:] if directive in groups else part
-    if {"Y", "y"} <= groups.keys() or len(groups.keys() & {"m", "B", "b"}) > 1:
-        raise ValueError(f"Formato data non supportato: {fmt} (campo ripetuto)")
     # The first match must reach the end of the text by itself, as the atomic
     # look-ahead asks; any other text takes the last branch, with empty groups.
     return rf"\A(?:(?=(?>{plain})\Z){body}\Z|.*)", groups
 
 
+def _is_plain(fmt: str) -> bool:
+    """Whether a format has year, month and day only, each at most once."""
+    directives = re.findall(r"%(.?)", fmt, re.DOTALL)
+    kinds = ["year" if d in "Yy" else "month" if d in "mBb" else d for d in directives if d != "%"]
+    return set(directives) <= {*_DIRECTIVES, "%"} and len(kinds) == len(set(kinds))
+
+
 def check_format(fmt: str) -> None:
-    """Reject a format with directives other than %d %m %Y %y %B %b and %%."""
-    _read_format(fmt)
+    """Reject a format that Python's strptime takes for no text, or that depends on the locale's layout."""
+    if not _is_plain(fmt):
+        grammar(fmt)
 
 
 def _by_format(text: Column, fmt: str, century: str = "") -> Column:
     """The date, or null if the text is not a real date in this format."""
+    if not _is_plain(fmt):
+        return read_strptime(text, fmt)
     pattern, groups = _read_format(fmt, century)
     if "y" in groups and not century:
         return F.coalesce(*[_by_format(text, fmt, c) for c in _CENTURIES])

@@ -1,10 +1,13 @@
 import math
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from fiscalframe.functions import numbers
 from fiscalframe.functions.dates import parse_italian_date
+from fiscalframe.functions.strptime import grammar, read_strptime
 from fiscalframe.operators.rules import DATE_FORMATS
 
 
@@ -63,7 +66,63 @@ def test_date_formats_in_order(spark):
     ]
 
 
-@pytest.mark.parametrize("fmt", ["%H:%M", "%d/%m/%Y %y", "%d %m %B %Y", "%"])
+FORMAT_PIECES = ["%d", "%m", "%Y", "%y", "%B", "%b", "%H", "%I", "%M", "%S", "%f", "%p", "%j", "%A", "%a", "%w", "%u", "%U", "%W", "%G", "%V", "%z", "%Z", "%%"]
+USUAL_FORMATS = [
+    "%d/%m/%Y %H:%M", "%A %d %B %Y", "%j/%Y", "%d/%m/%Y %I:%M:%S %p", "%Y-%m-%dT%H:%M:%S.%f%z", "%U %w %Y", "%W %u %Y", "%G-W%V-%u", "%a, %d %b %y", "%Y%m%d%H%M",
+    "%d %m", "%H:%M", "%Y %y", "%y %Y", "%m %B %d %Y", "%S", "%d.%m.%Y alle %H e %M", "%j %y %Z",
+]
+
+
+def python_date(text, fmt):
+    try:
+        return str(datetime.strptime(text, fmt).date())
+    except ValueError:
+        return None
+
+
+@pytest.mark.filterwarnings("ignore::DeprecationWarning")
+def test_any_format_reads_as_in_python(spark):
+    """Formats as used and at random, on texts that fit, nearly fit, or do not."""
+    rng, cases = random.Random(31), []
+    formats = list(USUAL_FORMATS)
+    while len(formats) < 70:
+        pieces = rng.sample(FORMAT_PIECES, rng.randint(1, 6))
+        fmt = "".join(p + rng.choice(["", " ", "/", "-", ":", ". ", "  "]) for p in pieces)
+        try:
+            grammar(fmt)
+        except ValueError:
+            # What is rejected when the rules are loaded fails for every text.
+            assert python_date(datetime(2024, 3, 5, 7, 8, 9).strftime(fmt), fmt) is None, fmt
+            continue
+        formats.append(fmt)
+    for fmt in formats:
+        texts = []
+        for _ in range(40):
+            day = datetime(rng.choice([1900, 1969, 2000, 2015, 2016, 2020, 2024, rng.randint(1000, 9999)]), 1, 1) + timedelta(days=rng.randrange(366), seconds=rng.randrange(86400))
+            text = day.strftime(fmt)
+            if rng.random() < 0.6:
+                at = rng.randrange(len(text) + 1)
+                text = text[:at] + rng.choice(["0", "6", "9", "1", " ", "", "x", "5", "3"]) + text[at + rng.randint(0, 1) :]
+            texts.append(rng.choice([text, text.upper(), text.lower()]))
+        cases.append((fmt, texts))
+    hits = 0
+    for k in range(0, len(cases), 10):
+        some = cases[k : k + 10]
+        rows = spark.createDataFrame([(i, n, t) for i, (_, texts) in enumerate(some) for n, t in enumerate(texts)], "i int, n int, text string")
+        read = F.coalesce(*[F.when(F.col("i") == i, read_strptime(F.col("text"), fmt)) for i, (fmt, _) in enumerate(some)])
+        for r in rows.select("i", "n", "text", read.cast("string").alias("date")).collect():
+            expected = python_date(r.text, some[r.i][0])
+            hits += expected is not None
+            assert r.date == expected, (some[r.i][0], r.text)
+    assert hits > 700
+
+
+def test_names_are_italian_and_english(spark):
+    got = values(spark, lambda c: parse_italian_date(c, ["%A %d %B %Y", "%a %d %b %Y"]), ["Lunedì 4 Marzo 2024", "MERCOLEDÌ 5 GIUGNO 2024", "monday 4 march 2024", "gio 7 mar 2024", "x 7 mar 2024"])
+    assert got == ["2024-03-04", "2024-06-05", "2024-03-04", "2024-03-07", None]
+
+
+@pytest.mark.parametrize("fmt", ["%c", "%x", "%X", "%d %d", "%Y-%V", "%G %V", "%G-%V-%u %j", "%d%", "%e", "%"])
 def test_unsupported_date_format(fmt):
     from fiscalframe import ExtractionRules
 
