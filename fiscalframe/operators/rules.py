@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fiscalframe.functions.dates import check_format
 from fiscalframe.functions.dialect import to_java
+from fiscalframe.functions.literals import required_words
 
 # --- fixed values: fields, patterns, formats and labels ----------------------
 # Results depend on their exact text and order: within a field the first
@@ -198,10 +200,10 @@ def may_match(pattern: str, text: str, lowered: str, odd: str) -> Column | None:
     """
     if pattern in _SHAPE_OF:
         return F.col(text).rlike(_SHAPE_OF[pattern])
-    words = _ANCHORS_OF.get(pattern)
+    words = _ANCHORS_OF[pattern] if pattern in _ANCHORS_OF else required_words(pattern)
     if words is None:
         return None
-    return F.expr(" or ".join([odd, *(f"contains({lowered}, '{word}')" for word in words)]))
+    return reduce(Column.__or__, [F.contains(F.col(lowered), F.lit(word)) for word in words], F.col(odd))
 
 
 def check_pattern(field_name: str, pattern: str) -> None:

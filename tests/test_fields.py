@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fiscalframe import ExtractionRules, extract_fields
 from fiscalframe.functions.dialect import to_java
+from fiscalframe.functions.literals import required_words
 from fiscalframe.functions.text import clean_capture
 from fiscalframe.operators.fields import first_captures
 from fiscalframe.operators.rules import DATE_FORMATS, FIELDS, PATTERNS, RUN_FORMS
@@ -224,6 +225,46 @@ def test_run_forms_equal_the_published_rules():
                 assert brute_clean(a.group(1) or "" if a else "") == brute_clean(b.group(1) or "" if b else ""), (pattern, text)
 
 
+CUSTOM = {
+    r"(?:fattura|nota)\s+numero\s*(\S+)": {"numero"}, r"[Tt]ot(?:ale)?[.:]?\s*€?\s*([\d.,]+)": {"tot"}, r"p\.?\s*iva\s*([\d]+)": {"iva"},
+    r"(?:IMPORTO|data){2,}.*?(\d+)": {"importo", "data"}, r"(?P<what>ditta)\s(\w+)": {"ditta"}, r"del(?=\s)\s+(\S+)": {"del"}, r"(?>società|eur)o?\s*(\d+)": {"societ", "eur"},
+    r"(?:fattura)?\s*(\d{3})": None, r"(\d+)[/-](\d+)": None, r"(x|tel)\s*(.)": None, r"(?<!dal )ditta\s(.)": {"ditta"}, r"(\|.|(?:tel\s)+)email": {"email"},
+}
+
+
+def test_custom_rules_are_tried_where_their_words_stand(spark):
+    """Every custom rule with a literal part gets a test for it, and results stay Python's."""
+    assert {p: set(required_words(p) or ()) or None for p in CUSTOM} == CUSTOM
+    texts = random_texts(3000, 17)
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(8)
+    hits = 0
+    for pattern in CUSTOM:
+        rules = ExtractionRules({name: (pattern,) for name in FIELDS})
+        got = {r.i: r.total for r in first_captures(rows, "text", rules, ("total",)).collect()}
+        for i, text in enumerate(texts):
+            expected = brute_first(text, [pattern])
+            hits += expected is not None
+            assert got[i] == expected, (pattern, text)
+    assert hits > 2000
+
+
+def test_required_words_are_in_every_match():
+    """Published rules and random patterns: a match without one of the words would be lost."""
+    rng = random.Random(41)
+    atoms = ["a", "B", "cd", "[Aa]", "[ab]", r"\d", ".", "(?:ab|cd)", "(?:a|bcd)", "(ab)", "(?:cd)?", "(?:ab)+", "(?:ab){2}", r"\s*", "(?=c)", "(?!d)", "(?i:Ab)", "^", "x{0}", "(?:ab(?:c|dd))"]
+    patterns = ["".join(rng.choice(atoms) for _ in range(rng.randint(1, 6))) for _ in range(1500)]
+    patterns += [f"{a}|{b}" for a, b in zip(patterns[:300], patterns[300:600], strict=True)]
+    texts = ["".join(rng.choice(["a", "b", "c", "d", "ab", "cd", "A", "D", " ", "1"]) for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    known = 0
+    for pattern, some in [*((p, texts) for p in patterns), *((p, random_texts(300, 19)) for ps in PATTERNS.values() for p in ps)]:
+        words = required_words(pattern)
+        known += words is not None
+        for text in some:
+            if words and re.search(pattern, text, re.I | re.M | re.S):
+                assert any(w in text.lower() for w in words) or set(text) & set("\u017f\u0131\u0130\u212a"), (pattern, text)
+    assert known > 800
+
+
 def test_options(spark):
     rows = spark.createDataFrame([("Totale 1250,00, emessa il 15 marzo 2024",), ("Totale 1.250,00 del 3/4/2024, poi 15 marzo 2024",)], "text string")
     plain = [(r.total, r.date) for r in extract_fields(rows).collect()]
