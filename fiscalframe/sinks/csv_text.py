@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fiscalframe.functions.numbers import comma_decimals
 from fiscalframe.functions.text import path_parts
 from fiscalframe.plans.reports import EXPORT_COLUMNS, GRAND_TOTAL, export_columns, rows_and_total
+from fiscalframe.sinks.staged import replacing
 
 BYTE_ORDER_MARK = "\ufeff"
 HEADER, DETAIL, GAP, TOTAL = range(4)
@@ -52,8 +53,8 @@ def csv_lines(invoices: DataFrame, delimiter: str = ";", order: str = "path") ->
     return lines.unionByName(session.range(1).select(F.inline(fixed)))
 
 
-def write_csv(invoices: DataFrame, path: str, delimiter: str = ";", order: str = "path") -> None:
-    """Writes the export as text parts under ``path``, replacing what is there.
+def write_csv_parts(invoices: DataFrame, path: str, delimiter: str = ";", order: str = "path") -> None:
+    """Writes the export as text parts into a new folder.
 
     The parts are cut from one sorted sequence of lines: read in name order they
     are, byte for byte, the single export file.  A small export is one part.
@@ -62,4 +63,10 @@ def write_csv(invoices: DataFrame, path: str, delimiter: str = ";", order: str =
     """
     key = path_parts(F.col(order)) if order == "path" else F.col(order)
     lines = csv_lines(invoices, delimiter, order).orderBy("section", key, "line")
-    lines.select("line").write.mode("overwrite").text(path, lineSep="\r\n")
+    lines.select("line").write.text(path, lineSep="\r\n")
+
+
+def write_csv(invoices: DataFrame, path: str, delimiter: str = ";", order: str = "path") -> None:
+    """Writes the export (see ``write_csv_parts``), replacing what is there once all of it is written."""
+    with replacing(invoices.sparkSession, [path]) as (place,):
+        write_csv_parts(invoices, place, delimiter, order)

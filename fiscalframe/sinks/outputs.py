@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 
 from fiscalframe.operators.materialise import materialise
 from fiscalframe.plans.reports import fatture_with_total, riepilogo
-from fiscalframe.sinks.csv_text import write_csv
+from fiscalframe.sinks.csv_text import write_csv_parts
+from fiscalframe.sinks.staged import replacing
 
 FORMATS = ("parquet", "csv", "both")
 
@@ -29,7 +30,8 @@ def write_outputs(
 
     ``<base>.parquet`` holds the sheets as ``fatture`` (detail and grand total)
     and ``riepilogo`` (if wanted), ``<base>.csv`` the CSV export.  Existing
-    outputs are replaced, missing parent folders made.  Extraction runs once.
+    outputs are replaced, all of them when all new ones are written and none otherwise;
+    missing parent folders are made.  Extraction runs once.
     The sheet holds the column ``seq`` if the invoices have one, else the path,
     to put its rows back in order.  Raises OSError, with a message for the user,
     where an output cannot be written.
@@ -40,21 +42,18 @@ def write_outputs(
     folder, name = posixpath.split(output)
     base = posixpath.join(folder, posixpath.splitext(name)[0])
     order = "seq" if "seq" in invoices.columns else "path"
+    sheet = [f"{base}.parquet"] if fmt in ("parquet", "both") else []
+    export = [f"{base}.csv"] if fmt in ("csv", "both") else []
     kept = materialise(invoices)
-    written = []
-    if fmt in ("parquet", "both"):
-        target = f"{base}.parquet"
-        with _writing(target):
-            fatture_with_total(kept, order).write.mode("overwrite").parquet(f"{target}/fatture")
+    with _writing(", ".join(sheet + export)), replacing(invoices.sparkSession, sheet + export) as places:
+        if sheet:
+            fatture_with_total(kept, order).write.parquet(f"{places[0]}/fatture")
             if include_summary:
                 now = datetime.now().strftime("%d/%m/%Y %H:%M:%S")
-                riepilogo(kept, target, now).write.mode("overwrite").parquet(f"{target}/riepilogo")
-        written.append(target)
-    if fmt in ("csv", "both"):
-        with _writing(f"{base}.csv"):
-            write_csv(kept, f"{base}.csv", delimiter, order)
-        written.append(f"{base}.csv")
-    return written
+                riepilogo(kept, sheet[0], now).write.parquet(f"{places[0]}/riepilogo")
+        if export:
+            write_csv_parts(kept, places[-1], delimiter, order)
+    return sheet + export
 
 
 @contextmanager

@@ -24,6 +24,7 @@ from fiscalframe.operators.numbering import number_rows
 from fiscalframe.operators.requests import per_request
 from fiscalframe.operators.rules import merge_rule_tables, rules_from_table
 from fiscalframe.plans import reports
+from fiscalframe.sinks import outputs, staged
 from fiscalframe.sinks.csv_text import csv_lines
 from fiscalframe.sources.files import accept_uploads, skipped_files
 from fiscalframe.sources.pages import assemble_pages, read_text_documents
@@ -193,6 +194,37 @@ def test_outputs_that_cannot_be_written(batch, tmp_path):
             write_outputs(batch, str(tmp_path / "file" / "o.x"), fmt)
 
 
+def everything(folder):
+    return {str(p.relative_to(folder)): p.read_bytes() for p in folder.rglob("*") if p.is_file() and "_temporary" not in p.parts}
+
+
+@pytest.mark.parametrize("step", ["second output", "replacing"])
+def test_a_failed_output_leaves_the_old_ones(batch, tmp_path, monkeypatch, step):
+    """Neither the sheet nor the export is replaced if either cannot be, and nothing else is left behind."""
+    target = str(tmp_path / "fatture.xlsx")
+    write_outputs(batch, target, "both")
+    before = everything(tmp_path)
+    if step == "second output":
+        monkeypatch.setattr(outputs, "write_csv_parts", lambda frame, place, *rest: frame.select(F.raise_error(F.lit("full"))).write.text(place))
+    else:
+        move = staged._Folder.move
+
+        def failing(self, source, place):
+            if source.endswith(".new") and place.endswith(".csv"):
+                raise OSError("full")
+            move(self, source, place)
+
+        monkeypatch.setattr(staged._Folder, "move", failing)
+    with pytest.raises(OSError):
+        write_outputs(batch.filter("path < '/in/c'"), target, "both")
+    assert everything(tmp_path) == before
+    monkeypatch.undo()
+    write_outputs(batch.filter("path < '/in/c'"), target, "both")
+    assert batch.sparkSession.read.parquet(str(tmp_path / "fatture.parquet/fatture")).count() == 3
+    assert csv_bytes(tmp_path / "fatture.csv").count(b"\r\n") == 5
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["fatture.csv", "fatture.parquet"]
+
+
 def test_output_keeps_the_request_order(spark, tmp_path):
     files, pages = samples.tables(spark, {"/a.pdf": samples.STANDARD, "/b.pdf": samples.ZERO})
     manifest = spark.createDataFrame([("/b.pdf", 1), ("/a.pdf", 2), ("/b.pdf", 3)], "path string, seq int")
