@@ -17,7 +17,7 @@ the file's bytes; each task makes its tables of it.  Rows are encoded where they
 and nothing is shuffled.  ``encode`` gives the token ids, ``append`` and ``edit`` go on from an earlier result, ``decode`` back to bytes.
 
 Defined cases: null and empty texts have no tokens; a piece that is a token as a whole is that token, as tiktoken has it;
-very long texts are encoded whole (pieces of over 64 bytes are not remembered);
+very long texts are encoded whole (pieces of over 64 characters are not remembered);
 rows may repeat; an empty table gives an empty result; other columns are not looked at, those
 named as carried are kept, whatever their names.
 """
@@ -27,6 +27,8 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import islice
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -37,11 +39,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fiscalframe.llm.common import slices
 
-REMEMBERED = 1 << 18  # pieces
+REMEMBERED = 1 << 19  # pieces
 REMEMBERED_PAIRS = 1 << 20  # of tokens
-REMEMBERED_BYTES = 64  # of a piece
+REMEMBERED_CHARS = 64  # of a piece
 NONE = 0xFFFFFFFF
 START = 1 << 31
+AT_ONCE = 1 << 20  # characters whose pieces are looked up together
 # A piece is settled if so many characters after its start, and one after its end, are known: "'re" needs three.
 AHEAD = 3
 
@@ -59,15 +62,22 @@ class Encoder:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.longest = max(map(len, ranks))
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
+        try:
+            self.single = [ranks[bytes([k])] for k in range(256)]
+        except KeyError as missing:
+            raise ValueError("the vocabulary does not encode every byte") from missing
         self.suffixes = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.suffixes.add_word(token.decode("latin-1"), (len(token), rank))
+            if len(token) > 1:
+                self.suffixes.add_word(token.decode("latin-1"), (len(token), rank))
         self.suffixes.make_automaton()
+        self.formed: dict[int, list[tuple[int, bytes, bytes]]] = {}
         self.beside: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """Plain merging: the adjacent pair of least rank first, the leftmost of equal ones.  For a token or two."""
+    def merges(self, data: bytes) -> Iterator[tuple[int, list[bytes]]]:
+        """Plain merging: the adjacent pair of least rank first, the leftmost of equal ones.  Each merge's rank, and the parts after it."""
         rank = self.ranks.get
         parts = [data[k : k + 1] for k in range(len(data))]
         pairs = [rank(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
@@ -79,14 +89,52 @@ class Encoder:
                 pairs[k - 1] = rank(parts[k - 1] + parts[k], NONE)
             if k < len(pairs):
                 pairs[k] = rank(parts[k] + parts[k + 1], NONE)
+            yield least, parts
+
+    def merged(self, data: bytes) -> list[int]:
+        """The tokens that plain merging gives."""
+        parts = [data[k : k + 1] for k in range(len(data))]
+        for _, parts in self.merges(data):
+            pass
         return [self.ranks[p] for p in parts]
 
+    def formation(self, token: int) -> list[tuple[int, bytes, bytes]]:
+        """(rank of the next merge, first part, last part) of a token's bytes before each merge and after the last; empty if merging does not give it."""
+        known = self.formed.get(token)
+        if known is None:
+            data = self.tokens[token]
+            states, ends = [], (data[:1], data[-1:])
+            for rank, parts in self.merges(data):
+                states.append((rank, *ends))
+                ends = parts[0], parts[-1]
+            known = self.formed[token] = [*states, (NONE, *ends)] if ends[0] == data else []
+        return known
+
     def may_follow(self, before: int, token: int) -> bool:
-        """Whether a token may stand behind another one, or at the start (before NONE)."""
-        first = [] if before == NONE else [before]
+        """Whether merging their bytes leaves a token behind another one, or alone (before NONE).
+
+        Both form by themselves, in the order of their ranks, unless at some point their ends at the seam are
+        the pair to be merged next.
+        """
         if len(self.beside) >= REMEMBERED_PAIRS:
             self.beside.clear()
-        fits = self.merged(b"".join(map(self.tokens.__getitem__, [*first, token]))) == [*first, token]
+        right = self.formation(token)
+        fits = bool(right)
+        if before != NONE and fits:
+            left = self.formation(before)
+            fits, i, j, rank = bool(left), 0, 0, self.ranks.get
+            while fits:
+                (l_next, _, l_end), (r_next, r_end, _) = left[i], right[j]
+                seam = rank(l_end + r_end, NONE)
+                # Of equal ranks the leftmost is first.
+                if seam != NONE and seam < l_next and seam <= r_next:
+                    fits = False
+                elif l_next == r_next == NONE:
+                    break
+                elif l_next <= r_next:
+                    i += 1
+                else:
+                    j += 1
         self.beside[before << 32 | token] = fits
         return fits
 
@@ -95,10 +143,13 @@ class Encoder:
 
         The search for tokens begins as far back as one can reach.
         """
-        size, beside = len(last), self.beside.get
+        size, beside, single = len(last), self.beside.get, self.single
         start = max(0, size - self.longest + 1)
         for end, (length, token) in self.suffixes.iter(data[start:].decode("latin-1")):
             at = start + end
+            while size < at:  # where none of the longer tokens fits
+                last.append(single[data[size]])
+                size += 1
             # One token fits at each place; other tokens that end there, or in the known part, are passed over.
             if size == at:
                 before = last[at - length] if at >= length else NONE
@@ -106,8 +157,7 @@ class Encoder:
                 if fits or fits is None and self.may_follow(before, token):
                     last.append(token)
                     size += 1
-        if size != len(data):
-            raise ValueError("the vocabulary does not encode every sequence of bytes")
+        last += [single[byte] for byte in data[size:]]
 
     def table(self, data: bytes) -> list[int]:
         """For every prefix of a piece but the empty one its last token."""
@@ -123,28 +173,43 @@ class Encoder:
         at, out = len(last), []
         while at:
             out.append(last[at - 1])
-            at -= len(self.tokens[last[at - 1]])
+            at -= self.sizes[last[at - 1]]
         return out[::-1]
 
     # --- texts ---
 
-    def piece(self, text: str) -> bytes:
-        """The ids of a piece, each in four bytes."""
-        data = text.encode()
-        whole = self.ranks.get(data)
-        out = np.array([whole] if whole is not None else self.read(data, self.table(data)), "<u4").tobytes()
-        if len(data) <= REMEMBERED_BYTES:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            self.pieces[text] = out
+    def learn(self, pieces: set[str]) -> None:
+        """Encodes pieces that are not known yet."""
+        for piece in pieces:
+            data = piece.encode()
+            ids = self.read(data, self.table(data))
+            self.pieces[piece] = pack(f"<{len(ids)}I", *ids)
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of texts as little-endian unsigned 32-bit integers; all their pieces are held at once."""
+        cut = [self.pattern.findall(text) if text else [] for text in texts]
+        return self._joined(cut)
+
+    def _joined(self, cut: list[list[str]]) -> list[bytes]:
+        unknown = {piece for piece in set().union(*cut) if piece not in self.pieces}
+        if len(self.pieces) + len(unknown) > REMEMBERED:
+            self.pieces.clear()
+            unknown = set().union(*cut)
+        self.learn(unknown)
+        out = [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in cut]
+        for piece in unknown:
+            if len(piece) > REMEMBERED_CHARS:
+                del self.pieces[piece]
         return out
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        known, piece = self.pieces.get, self.piece
-        return b"".join([known(p) or piece(p) for p in self.pattern.findall(text)])
+        """The ids of a text, however long."""
+        if not text or len(text) <= AT_ONCE:
+            return self.encode_all([text])[0]
+        found, out = self.pattern.finditer(text), []
+        while pieces := [m.group() for m in islice(found, AT_ONCE // 8)]:
+            out += self._joined([pieces])
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -245,15 +310,15 @@ class Vocabulary:
         return Encoder(read_ranks(self.data.value), self.pattern)
 
 
-def _rowwise(rows: DataFrame, vocabulary: Vocabulary, sized_by: str, kinds: dict[str, tuple[str, pa.DataType]], made: Callable[[Encoder, dict], tuple]) -> DataFrame:
-    """The column "carried" of rows, and columns made of each row by an encoder."""
+def _by_slices(rows: DataFrame, vocabulary: Vocabulary, sized_by: str, kinds: dict[str, tuple[str, pa.DataType]], made: Callable[..., list[tuple]]) -> DataFrame:
+    """The column "carried" of rows, and columns that made makes of an encoder and the lists of the other columns of some rows."""
     names = [c for c in rows.columns if c != "carried"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocabulary.encoder()
         for batch in batches:
-            for part in slices(batch, sized_by):
-                found = [made(encoder, *row) for row in zip(*[part.column(n).to_pylist() for n in names], strict=True)]
+            for part in slices(batch, sized_by, AT_ONCE):
+                found = made(encoder, *[part.column(n).to_pylist() for n in names])
                 columns = [pa.array([f[i] for f in found], kind) for i, (_, kind) in enumerate(kinds.values())]
                 yield pa.RecordBatch.from_arrays([part.column("carried"), *columns], names=["carried", *kinds])
 
@@ -261,6 +326,11 @@ def _rowwise(rows: DataFrame, vocabulary: Vocabulary, sized_by: str, kinds: dict
     return rows.mapInArrow(each, schema).select("carried.*", *kinds)
 
 
+def _rowwise(rows: DataFrame, vocabulary: Vocabulary, sized_by: str, kinds: dict[str, tuple[str, pa.DataType]], made: Callable[..., tuple]) -> DataFrame:
+    """As _by_slices, row by row."""
+    return _by_slices(rows, vocabulary, sized_by, kinds, lambda encoder, *columns: [made(encoder, *row) for row in zip(*columns, strict=True)])
+
+
 def _carried(columns: tuple[str, ...]):
     return F.struct(*[F.col(c) for c in columns]).alias("carried")
 
@@ -272,7 +342,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carried: tuple[str, ...] = (
     """The carried columns and ids (four bytes a token, little-endian); with tables also table, from which append and edit go on."""
     rows = docs.select(_carried(carried), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if not tables:
-        return _rowwise(rows, vocabulary, "text", {"ids": BYTES}, lambda encoder, text: (encoder.encode(text),))
+
+        def several(encoder: Encoder, texts: list[str]) -> list[tuple]:
+            encoded = encoder.encode_all(texts) if len(texts) > 1 else map(encoder.encode, texts)
+            return [(ids,) for ids in encoded]
+
+        return _by_slices(rows, vocabulary, "text", {"ids": BYTES}, several)
 
     def made(encoder: Encoder, text: str) -> tuple[bytes, bytes]:
         table = encoder.text_table(text)
