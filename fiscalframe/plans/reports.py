@@ -56,16 +56,18 @@ def grand_total(invoices: DataFrame) -> DataFrame:
 def rows_and_total(invoices: DataFrame, *columns: Column) -> DataFrame:
     """The given columns of every invoice (``is_total`` false), and one row with them null and ``grand_total`` (true).
 
-    Both parts read one exchange of the narrow rows, so invoices are extracted once.  It is dealt by a
-    hash of all its columns, which therefore neither part can prune; that would make
-    two exchanges of them.  AQE splits what is dealt unevenly.
+    Both parts read one exchange of the narrow rows, so invoices are extracted once.  It is dealt by
+    all its columns, which therefore neither part can prune; that would make two exchanges
+    of them.  AQE splits what is dealt unevenly.
     """
-    narrow = invoices.select(*columns, F.col("total").alias("_total"), F.col("total_dec").alias("_total_dec"))
-    shown = narrow.columns[:-2]
-    moved = narrow.withColumn("_deal", F.xxhash64(*[F.col(f"`{c}`") for c in narrow.columns])).hint("rebalance", "_deal")
-    total = moved.agg(F.count("_deal").alias("_rows"), sum_of_totals(F.col("_total"), F.col("_total_dec")).alias("grand_total"))
+    plain = invoices.select(*columns)
+    names = [f"_c{i}" for i in range(len(columns))]
+    moved = invoices.select(*[c.alias(n) for c, n in zip(columns, names, strict=True)], F.col("total").alias("_total"), F.col("total_dec").alias("_total_dec"))
+    moved = moved.hint("rebalance", *moved.columns)
+    total = moved.agg(sum_of_totals(F.col("_total"), F.col("_total_dec")).alias("grand_total"))
+    shown = [F.col(n).alias(field.name) for n, field in zip(names, plain.schema, strict=True)]
     rows = moved.select(F.lit(False).alias("is_total"), *shown, F.lit(None).cast(total.schema["grand_total"].dataType).alias("grand_total"))
-    nothing = [F.lit(None).cast(narrow.schema[c].dataType).alias(c) for c in shown]
+    nothing = [F.lit(None).cast(field.dataType).alias(field.name) for field in plain.schema]
     return rows.unionByName(total.select(F.lit(True).alias("is_total"), *nothing, "grand_total"))
 
 
