@@ -22,8 +22,8 @@ joins share that exchange.  Windows are compared by 128 bits of hash.
 
 Defined cases: null and empty texts have no words; texts under 20 words stay;
 of texts that are equal only the one of the least id stays; null ids count as
-greatest, and as one document; rows that repeat id and text are the same
-document and do not remove each other; an empty table gives an empty result;
+greatest; rows that repeat id and text are the same document and do not remove each other; of rows that share an id, or have
+none, but not the text, the one of the lesser text hash is the earlier; an empty table gives an empty result;
 other columns are not looked at.
 """
 
@@ -37,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from fiscalframe.llm.common import slices, words
+from fiscalframe.llm.common import kept, slices, words
+from fiscalframe.llm.merkle import numbered
 
 WINDOW = 20
 ANCHOR = 6
@@ -119,6 +120,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     factors: start:length of the removed runs of words, comma-joined.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if rows.groupBy("id").count().filter("count > 1").isEmpty():
+        return _parsed_rows(rows).withColumnRenamed("id", id_col)
+    # Ids that do not tell documents apart are replaced by their documents' numbers, in the same order.
+    rows = rows.withColumn("print", F.xxhash64("text"))
+    documents = rows.select(F.lit("all").alias("all"), "id", "print").distinct()
+    documents = kept(numbered(documents, "all", F.col("id").asc_nulls_last(), F.col("print")).select(F.col("id").alias("own_id"), F.col("print").alias("own_print"), "place"))
+    same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("print") == F.col("own_print"))
+    found = _parsed_rows(rows.join(documents, same).select(F.col("place").alias("id"), "text"))
+    return found.join(documents, found["id"] == documents["place"]).select(F.col("own_id").alias(id_col), *found.columns[1:])
+
+
+def _parsed_rows(rows: DataFrame) -> DataFrame:
+    """The same for rows (id, text) whose ids are their documents'."""
     id_type = rows.schema["id"].dataType.simpleString()
     first_texts = rows.groupBy(F.unhex(F.sha2("text", 256))).agg(F.min("id").alias("id")).select("id").distinct().withColumn("is_first", F.lit(True))
     # Null ids find each other in the joins by a key of their own.
@@ -171,7 +185,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column("id"), *columns], names=["id", *kinds])
 
     out = told.mapInArrow(parsed, f"id {id_type}, n_words long, n_removed long, kept_text string, kept_sha256 string, factors string")
-    return out.withColumnRenamed("id", id_col)
+    return out
 
 
 def factors(found: np.ndarray) -> list[tuple[int, int]]:
