@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import public_tokenizers
-
 import corpus_pipeline
 from fiscalframe.llm import byte_bpe, decontamination, exact_dedup, language, licenses, merkle, mixing, pseudonyms, quality, secret_scan, simhash, substring_dedup, vector_codes
 from fiscalframe.llm.common import held_out, table
@@ -74,6 +72,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # of the environment; no other query needs it
+
     vocabulary = byte_bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
     decoded = byte_bpe.decode(encoded, vocabulary, ("doc_id", "ids"))
