@@ -55,12 +55,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # Partitions to spread CPU-bound inputs over, where tables have fewer row groups than there are cores.
-# Unset, as on a cluster, tables are read as they lie.
+# Unset, tables of texts are read as they lie; narrow rows of which texts are rendered are always spread, since
+# so few bytes are one split.
 SPREAD = int(os.environ.get("FISCALFRAME_SPREAD", "0")) or None
 
 
 def _spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet", *columns, partitions=SPREAD)
+    """Narrow rows that much work is done on, over a few tasks a core."""
+    return read_table(spark, f"{sf_dir}/{name}.parquet", *columns, partitions=SPREAD or 4 * spark.sparkContext.defaultParallelism)
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +80,8 @@ def corpus_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prose(spark: SparkSession, sf_dir: str, table: str, key: str, text: str) -> DataFrame:
     """A prose table as (key, text)."""
-    return _spread(spark, sf_dir, table, key, text).select(F.col(key).alias("doc_key"), F.col(text).alias("text"))
+    rows = read_table(spark, f"{sf_dir}/{table}.parquet", key, text, partitions=SPREAD)
+    return rows.select(F.col(key).alias("doc_key"), F.col(text).alias("text"))
 
 
 # Frequent words of the prose, and what they become to give the rules matches.

@@ -39,5 +39,15 @@ def test_query(spark, duck, name):
     assert got == expected
 
 
+def test_few_bytes_of_much_work_are_spread(spark, tmp_path, monkeypatch):
+    """Rows of one row group, of which texts are rendered, are worked on by all cores."""
+    monkeypatch.setattr(entry, "SPREAD", None)
+    spark.range(40).selectExpr("id c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(40).selectExpr("id o_orderkey", "id o_custkey", "1.5D o_totalprice", "date'1999-02-01' o_orderdate").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("many_anchors", "wide_gaps", "parse_date"):
+        frame = entry.invoice_queries()[name](spark, str(tmp_path))
+        assert frame.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1500
