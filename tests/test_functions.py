@@ -56,6 +56,15 @@ def test_dates(spark):
     assert dict(zip(DATES, got)) == DATES
 
 
+def test_formats_without_their_marks_are_not_tried(spark):
+    """A format's regex runs only in texts that hold its marks; those in letters' case, spaces and %% are no hindrance."""
+    from fiscalframe.functions.dates import _marks
+
+    assert [_marks(f) for f in ("%d/%m/%Y", "%d.%m-%y", "%d %B %Y", "%%%dT%m", "%d%m%Y")] == [["/"], ["-", "."], [], ["%"], []]
+    got = values(spark, lambda c: parse_italian_date(c, ["%dT%m%%%Y", "%d-%m.%Y", "%d %b %Y"]), ["1t2%1999", "1-2.0999", " 3 \u00a0 MAR 2001 ", "1/2/1999", None])
+    assert got == ["1999-02-01", "999-02-01", "2001-03-03", None, None]
+
+
 def test_date_formats_in_order(spark):
     """An impossible date in one format leaves the turn to the next."""
     got = values(spark, lambda c: parse_italian_date(c, ["%d/%m/%y", "%y/%m/%d"]), ["31/02/24", "05/02/24"])
