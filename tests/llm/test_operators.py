@@ -325,6 +325,38 @@ def test_recall_of_the_latent_space(spark, frame, leaks):
     assert near.sum() > 50 and (latent[near] >= decontamination.COSINE).mean() >= 0.9
 
 
+def test_latent_space_is_of_the_corpus(frame, monkeypatch):
+    """Its passages are of all documents, whatever items they could hold; of many, a sample that does not depend on partitions."""
+    import numpy as np
+
+    block = decontamination.Items.of([(1, "w1 w2 w3 q1 q2 q3 q4 q5 q6")])
+    docs = [(d, prose(d, 200, 20)) for d in range(60)] + [(60, None), (61, "w1")]
+    clean = frame(docs).select(F.col("doc_id").alias("id"), "text")
+    passages = decontamination._read(clean, block).filter("n IS NULL")
+    texts = [(t or "").split() for _, t in docs]
+    holding = [w for w in texts for k in range(0, max(1, len(w) - 16), 16) if {"w1", "w2", "w3"} & set(w[k : k + 32])]
+    assert passages.count() == len(holding) > 600  # none holds the item
+    monkeypatch.setattr(decontamination, "SAMPLE", 64)
+    drawn = [sorted(map(tuple, decontamination._sampled(decontamination._read(clean.repartition(n), block)).collect())) for n in (1, 5)]
+    assert 32 <= len(drawn[0]) <= 64 and drawn[0] == drawn[1]
+    same = frame(docs[:1] * 200).select(F.col("doc_id").alias("id"), "text")
+    assert decontamination._sampled(decontamination._read(same, block)).count() <= 64
+    weight = np.ones(len(block.vocabulary), np.float32)
+    space = decontamination.latent_space(passages, block, weight, 1)
+    assert np.abs(space[block.vocabulary[b"w1"]]) > np.abs(space[block.vocabulary[b"q1"]])  # the corpus's words lead
+
+
+def test_passages_are_retrieved_in_the_latent_space_only(frame, leaks, monkeypatch):
+    """The bound by words sees passages that the latent space gave, and no others."""
+
+    def unwanted(*_):
+        raise AssertionError("asked about a passage that was not retrieved")
+
+    monkeypatch.setattr(decontamination, "_held", unwanted)
+    items, docs, _ = leaks
+    assert decontamination.find(frame(docs), frame(items, "item_id long, text string"), cosine=1.5).count() == 0
+
+
 def test_short_items_in_long_foreign_text(frame, monkeypatch):
     """Items of 3 to 10 words, whole or without a word: all are found, and as if every passage were scored."""
     random, docs, expected = Random(8), [], set()
