@@ -10,21 +10,24 @@ from fiscalframe.functions.dates import parse_italian_date
 from fiscalframe.functions.numbers import exact_cents, parse_italian_number
 from fiscalframe.functions.once import non_empty, with_computed_once
 from fiscalframe.functions.text import clean_capture
-from fiscalframe.operators.rules import FIELDS, ExtractionRules, may_match, odd_case, run_form
+from fiscalframe.operators.rules import AMOUNT_RULES, FIELDS, WORD_RULES, ExtractionRules, gaps_in_amounts, may_match, narrowed, odd_case, run_form
 
 
 @lru_cache(maxsize=64)
-def first_capture(text: str, patterns: tuple[str, ...], lowered: str, odd: str) -> Column:
+def first_capture(text: str, patterns: tuple[str, ...], narrow: str, amounts: str, lowered: str, odd: str) -> Column:
     """Cleaned capture of the first rule that yields one, or null; arguments but patterns name columns.
 
+    Rules whose captures are the same there search the text with narrow gaps.
+
     Only the first match of a rule counts; a capture that is empty after
     cleaning passes the turn to the next rule.  A rule is evaluated once at
     most, and not at all after a hit or in a text without its anchor words.
     """
     tries = []
     for pattern in patterns:
-        found = non_empty(clean_capture(F.regexp_extract(text, run_form(pattern), 1)))
-        condition = may_match(pattern, text, lowered, odd)
+        searched = narrow if pattern in WORD_RULES else amounts if pattern in AMOUNT_RULES else text
+        found = non_empty(clean_capture(F.regexp_extract(searched, run_form(pattern), 1)))
+        condition = may_match(pattern, searched, lowered, odd)
         tries.append(found if condition is None else F.when(condition, found))
     return F.coalesce(*tries)
 
@@ -37,11 +40,12 @@ def first_captures(
     prefix: str = "",
 ) -> DataFrame:
     """Adds the first capture of each of the given fields."""
-    found = df.withColumns({"_lowered": F.lower(text), "_odd_case": odd_case(text)})
+    made = {"_amounts": F.when(gaps_in_amounts("_narrow"), F.col(text)).otherwise(F.col("_narrow")), "_lowered": F.lower("_narrow"), "_odd_case": odd_case("_narrow")}
+    found = df.withColumn("_narrow", narrowed(text)).withColumns(made)
     for field in fields:
-        capture = first_capture(text, rules.patterns[field], "_lowered", "_odd_case")
+        capture = first_capture(text, rules.patterns[field], "_narrow", "_amounts", "_lowered", "_odd_case")
         found = with_computed_once(found, prefix + field, capture)
-    return found.drop("_lowered", "_odd_case")
+    return found.drop("_narrow", *made)
 
 
 def extract_field(df: DataFrame, text: str, field: str, rules: ExtractionRules) -> DataFrame:

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fiscalframe.functions.dates import check_format
-from fiscalframe.functions.dialect import to_java
+from fiscalframe.functions.dialect import SPACE, to_java
 from fiscalframe.functions.literals import required_words
 
 # --- fixed values: fields, patterns, formats and labels ----------------------
@@ -131,6 +131,27 @@ RUN_FORMS: dict[str, tuple[str, ...]] = {
 _RUN_FORM_OF = {pattern: form for name in FIELDS for pattern, form in zip(PATTERNS[name], RUN_FORMS[name], strict=True)}
 
 
+# The run forms tell one blank from several, but no two runs of several apart, so with long ones cut
+# short they match at the same places.  A number, date or VAT code captured has no space in it; an amount only
+# next to a bracket or sign.  What the other rules capture can hold any gap.
+WORD_RULES = frozenset(p for name in ("invoice_number", "date", "vat_number") for p in PATTERNS[name])
+AMOUNT_RULES = frozenset(PATTERNS["total"])
+_GAP = " " * 16
+
+
+def narrowed(text: str) -> Column:
+    """The column with its long runs of blanks cut short, to no less than two."""
+    shorter = F.col(text)
+    for _ in range(2):
+        shorter = F.replace(shorter, F.lit(_GAP), F.lit("  "))
+    return F.when(F.contains(F.col(text), F.lit(_GAP)), shorter).otherwise(F.col(text))
+
+
+def gaps_in_amounts(text: str) -> Column:
+    """True if an amount in the column may have space inside."""
+    return F.col(text).rlike(rf"[(\-−][{SPACE}]|[{SPACE}]\)")
+
+
 def run_form(pattern: str) -> str:
     """The Java regex that finds a rule's first match."""
     return to_java(_RUN_FORM_OF.get(pattern, pattern))
@@ -195,7 +216,7 @@ def odd_case(text: str) -> Column:
 def may_match(pattern: str, text: str, lowered: str, odd: str) -> Column | None:
     """A cheap condition that holds for every text the pattern matches in.
 
-    Takes the names of the columns with the text, the text in lower case, and
+    Takes the names of the columns with the text, the text in lower case, with narrow gaps, and
     the result of ``odd_case``.
     """
     if pattern in _SHAPE_OF:
@@ -203,7 +224,7 @@ def may_match(pattern: str, text: str, lowered: str, odd: str) -> Column | None:
     words = _ANCHORS_OF[pattern] if pattern in _ANCHORS_OF else required_words(pattern)
     if words is None:
         return None
-    return reduce(Column.__or__, [F.contains(F.col(lowered), F.lit(word)) for word in words], F.col(odd))
+    return reduce(Column.__or__, [F.contains(F.lower(text) if "  " in word else F.col(lowered), F.lit(word)) for word in words], F.col(odd))
 
 
 def check_pattern(field_name: str, pattern: str) -> None:

@@ -13,7 +13,7 @@ from fiscalframe.functions.dialect import to_java
 from fiscalframe.functions.literals import required_words
 from fiscalframe.functions.text import clean_capture
 from fiscalframe.operators.fields import first_captures
-from fiscalframe.operators.rules import DATE_FORMATS, FIELDS, PATTERNS, RUN_FORMS
+from fiscalframe.operators.rules import DATE_FORMATS, FIELDS, PATTERNS, RUN_FORMS, narrowed
 
 PIECES = [
     "fattura", "FATTURA N.", "Ricevuta", "nota di credito", "documento", "ddt", "numero", "n.", "protocollo:", "Data:", "data",
@@ -191,6 +191,28 @@ SUPPLIER_PIECES = [
 ]
 
 
+def test_captures_hold_wide_gaps_as_they_stand(spark):
+    """Gaps of one blank to hundreds, within captures, too; custom rules may count the blanks."""
+    rng = random.Random(12)
+    gaps = ["", " ", "  ", " " * 15, " " * 16, " " * 17, " " * 31, " " * 47, " " * 300, " " * 20 + "\t" + " " * 20, "\n" + " " * 40]
+    texts = ["".join(rng.choice(PIECES) + rng.choice(gaps) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    texts += [f"Totale{a}({b}-{c}12{d}){e}x" for a in gaps for b, c, d, e in [rng.choices(gaps, k=4) for _ in range(4)]]
+    texts += [f"Fornitore:{a}Casa{b}Rossi{c}|" for a in gaps for b in gaps for c in gaps[:4]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(8)
+    rules = ExtractionRules().merge({"invoice_number": [r"codice {20,}(\S+)", r"numero {18}(x)"], "supplier_name": r"(emissione                    x)"})
+    got = {r.i: r for r in first_captures(rows, "text", rules).collect()}
+    for i, text in enumerate(texts):
+        for field in FIELDS:
+            custom = [p for p in rules.patterns[field] if p not in PATTERNS[field]]
+            assert got[i][field] == brute_first(text, [*custom, *RUN_FORMS[field]]), (field, text)
+
+
+def test_rules_search_few_blanks(spark):
+    """However wide the gaps, most rules read tens of blanks only."""
+    rows = spark.createDataFrame([("a" + " " * 3000 + "b c",)], "text string")
+    assert [r.n for r in rows.select(F.length(narrowed("text")).alias("n")).collect()] == [1 + 60 + 3]
+
+
 def test_rules_equal_python_among_many_anchors(spark):
     """Texts of little but anchors and stops, in which later anchors follow the first one with and without a stop between."""
     rng = random.Random(23)
